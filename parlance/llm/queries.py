@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import forced_bpe, kd_shard, media_ts, mixing, rule_ledger
+from parlance.llm import forced_bpe, kd_shard, media_ts, mixing, pfp_dedup, rule_ledger
 from parlance.llm.bytekit import table
 
 
@@ -26,6 +26,10 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shard.shard(table(spark, sf_dir, "documents"), leaves=16)
 
 
+def op4_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes", "extra_shard", "pass_shards")
 
