@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from parlance.llm import forced_bpe, kd_shard, media_ts, mixing, ngram_join, pfp_dedup, rule_ledger
+from parlance.llm import forced_bpe, kd_shard, license_scan, media_ts, mixing, ngram_join, pfp_dedup, rule_ensemble, rule_ledger, style_tree
 from parlance.llm.bytekit import table
 
 
@@ -26,14 +25,27 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shard.shard(table(spark, sf_dir, "documents"), leaves=16)
 
 
+def op3_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes", "extra_shard", "pass_shards")
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digest(table(spark, sf_dir, "documents"), byte_vocabulary())
 
