@@ -123,3 +123,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     known = known.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     known = known.withColumn("extra_taken", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("at"))))
     return known.select("doc_id", "row_key", "source", "size", "source_size", "target", F.col("passes").cast("int").alias("passes"), "extra_taken", (F.col("passes") * F.col("size") + F.col("extra_taken")).alias("taken"), "pass_shards", "extra_shard")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: a row for each whole pass, and one for an extra draw.
+
+    An extra draw that takes a part of a document has its first words, joined by spaces, and
+    ``n_chars`` counted anew.  Repeated rows (same id and text) are taken alike."""
+    plan = mix(docs, **options).groupBy("doc_id", "row_key").agg(F.max("passes").alias("passes"), F.max("extra_taken").alias("extra"), F.max("size").alias("size")).where("passes > 0 or extra > 0")
+    plan = checkpointed(plan).withColumnsRenamed({"doc_id": "k_id", "row_key": "k_key"})
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("r_id"), row_key().alias("r_key"))
+    rows = rows.join(plan, rows["r_id"].eqNullSafe(plan["k_id"]) & (rows["r_key"] == plan["k_key"]))
+    # Draw 0 is the extra one.
+    draws = F.when(F.col("extra") > 0, F.sequence(F.lit(0), F.col("passes"))).otherwise(F.sequence(F.lit(1), F.col("passes")))
+    rows = rows.withColumn("draw", F.explode(draws))
+    part = (F.col("draw") == 0) & (F.col("extra") < F.col("size"))
+    text = F.when(part, F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " ")).otherwise(F.col("row.text"))
+    rows = rows.withColumn("taken_text", text)
+    columns = [F.col("taken_text").alias(c) if c == "text" else F.when(part, F.length("taken_text")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*columns)

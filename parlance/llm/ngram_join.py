@@ -313,9 +313,23 @@ def _not_far(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id and class of every document."""
+    """doc_id, row_key, n_shingles, component_id and component (null: linked with nothing) of every document."""
     docs = docs.select("doc_id", bk.row_key(), F.col("text").cast("string").alias("text"))
     signed, _, labels = links(docs, percent)
     placed = signed.select("doc_id", "row_key", "n", "class").join(labels, (F.col("class") == F.col("node")) & (F.col("n") > 0), "left")
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "label", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+    return placed.join(least, "label", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("label").alias("component"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: the one of the smallest id (null last).
+
+    Documents without words are linked with nothing and stay; of repeated rows (same id and
+    text) one stays."""
+    placed = join(docs, percent)
+    chosen = placed.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("least")).select("least.doc_id", "least.row_key")
+    keys = checkpointed(chosen.union(placed.where("n_shingles = 0").select("doc_id", "row_key")).distinct()).withColumnsRenamed({"doc_id": "k_id", "row_key": "k_key"})
+    release(docs.sparkSession)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("r_id"), bk.row_key().alias("r_key"))
+    kept = rows.join(keys, rows["r_id"].eqNullSafe(keys["k_id"]) & (rows["r_key"] == keys["k_key"]), "left_semi").dropDuplicates(["r_id", "r_key"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

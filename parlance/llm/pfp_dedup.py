@@ -131,7 +131,9 @@ def _of_docs(df: DataFrame) -> str:
 
 
 def _texts_with(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Texts beside what is known of them; texts travel compressed."""
+    """Texts beside what is known of them; texts travel compressed, and a column ``carried`` with them if there is one."""
+    extra = [f"carried {docs.schema['carried'].dataType.simpleString()}"] if "carried" in docs.columns else []
+    docs = docs.select("doc_id", "row_key", "text", *docs.columns[3:])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -141,9 +143,9 @@ def _texts_with(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
             for part, buf, offs in bk.groups(batch, "text"):
                 raw = buf.tobytes()
                 packed = [z.compress(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["doc_id", "row_key", "packed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary()), *part.columns[3:]], ["doc_id", "row_key", "packed", *(["carried"] if extra else [])])
 
-    packed = docs.mapInArrow(pack, f"doc_id {_of_docs(docs)}, row_key long, packed binary")
+    packed = docs.mapInArrow(pack, ", ".join([f"doc_id {_of_docs(docs)}, row_key long, packed binary", *extra]))
     marks = marks.withColumnsRenamed({"doc_id": "m_id", "row_key": "m_key"})
     return packed.join(marks, packed["doc_id"].eqNullSafe(marks["m_id"]) & (packed["row_key"] == marks["m_key"]), how).drop("m_id", "m_key")
 
@@ -277,22 +279,42 @@ def _kept(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes
     return b"".join(out), len(spans)
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, row_key, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every document."""
-    docs = docs.select("doc_id", bk.row_key(), F.col("text").cast("string").alias("text"))
+def remove(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
+    """doc_id, row_key, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every document.
+
+    With ``carry``, the other columns of ``docs`` come along as the struct ``carried``."""
+    others = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("carried")] if carry else []
+    whole = docs.select("doc_id", bk.row_key(), F.col("text").cast("string").alias("text"), *others)
+    docs = whole.select("doc_id", "row_key", "text")
     found = repeats(docs, length).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # a document's own runs
     kind = _of_docs(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw, runs_ in zip(_unpack(batch.column(2)), batch.column(3), strict=True):
+            for raw, runs_ in zip(_unpack(batch.column(2)), batch.column(3 + carry), strict=True):
                 kept, spans = _kept(raw, [(r["start"], r["n"]) for r in runs_.as_py() or ()], length)
                 rows.append((len(raw), len(raw) - len(kept), spans, kept))
             size, removed, spans, kept = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), *([batch.column(3)] if carry else [])], ["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept", *(["carried"] if carry else [])])
+
+    more = f", carried {whole.schema['carried'].dataType.simpleString()}" if carry else ""
+    return _texts_with(whole, found, "left").mapInArrow(run, f"doc_id {kind}, row_key long, n_bytes long, n_removed long, n_spans long, kept binary{more}")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs`` with the repeated bytes taken out of their texts and ``n_chars`` counted anew.
+
+    Bytes of a character that was cut go with it; a null text becomes empty."""
+    rows = remove(docs, length, carry=True)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())], ["carried", "text"])
 
-    return _texts_with(docs, found, "left").mapInArrow(run, f"doc_id {kind}, row_key long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = rows.select("carried", "kept").mapInArrow(clean, f"carried {rows.schema['carried'].dataType.simpleString()}, text string")
+    columns = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("carried").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*columns)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

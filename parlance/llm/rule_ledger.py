@@ -93,6 +93,27 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
+def passing(docs: DataFrame, policy: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with their own columns."""
+    kept = bk.bounded_batches(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, offs in bk.groups(batch, "text"):
+                got = measure_group(buf, offs)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[m].astype(np.int64)) for m in MEASURES)], ["row", *MEASURES])
+
+    rows = kept.mapInArrow(run, f"row {kept.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES))
+    return apply_policy(with_bits(rows), policy or CURRENT).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def with_bits(measured: DataFrame) -> DataFrame:
+    bits = F.lit(0).cast("long")
+    for name, failed in rules().items():
+        bits = bits + F.when(failed, F.lit(1 << BITS[name])).otherwise(F.lit(0))
+    return measured.withColumn("fail_bits", bits)
+
+
 def rules() -> dict[str, Column]:
     """Name -> failure; the place in this dict is the bit."""
     c = F.col
@@ -124,10 +145,7 @@ def mask(policy: str) -> int:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """Measurements and ``fail_bits``, one row for each row of ``docs``."""
-    bits = F.lit(0).cast("long")
-    for name, failed in rules().items():
-        bits = bits + F.when(failed, F.lit(1 << BITS[name])).otherwise(F.lit(0))
-    return measure(docs).withColumn("fail_bits", bits)
+    return with_bits(measure(docs))
 
 
 def apply_policy(book: DataFrame, policy: str = CURRENT) -> DataFrame:
