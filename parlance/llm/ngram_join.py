@@ -13,8 +13,8 @@ entry (*class*) of the join.
 Answer-level skipping: a list's members are first compared with two leaders only.  A
 member's answer follows from its leader's where that suffices: linked members are in one
 component and need no pair of their own, and a pair is skipped when the exact distances to
-a common leader prove it too far (Jaccard distance is a metric).  Two rounds of leaders
-leave few lists with several components; only pairs across components of those are
+a common leader prove it too far (Jaccard distance is a metric).  Leaders leave few
+lists with several components; only pairs across components of those are
 compared themselves.  Every pair that is left passes an exact bitmap bound on the symmetric
 difference and then an exact comparison of the two whole sets.
 
@@ -43,7 +43,7 @@ WORDS, PERCENT = 5, 75
 #: Frequent shingles that are put last: at most so many, each seen so often in repeats inside batches.
 FREQUENT_MOST, FREQUENT_TIMES = 200_000, 8
 BITMAP_BYTES = 128
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 
 def sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -113,29 +113,31 @@ def _groups(docs: DataFrame, fields: list[tuple[str, str]], work) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n (set size), class and bitmap of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def work(part, s, first):
-        return [part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(bk.signed(class_keys(s, first))), pa.array([x.tobytes() for x in bitmaps(s, first)], pa.binary())]
-
-    return _groups(docs, [("doc_id", kind), ("row_key", "long"), ("n", "long"), ("class", "long"), ("bitmap", "binary")], work)
+    """doc_id, row_key, n (set size), class and bitmap of every document.
 
-
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that recur in several sets of one group, the most frequent first to be kept; sorted."""
+    The first row of each group also has ``again``: the shingles of several sets of the group
+    and in how many (equal sets count once)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(part, s, first):
-        # Equal sets of the group count once.
-        kept = np.unique(class_keys(s, first), return_index=True)[1]
+        keys = class_keys(s, first)
         size = np.diff(first)
         some = np.zeros(len(size), bool)
-        some[kept] = True
+        some[np.unique(keys, return_index=True)[1]] = True
         found, times = np.unique(s[np.repeat(some, size)], return_counts=True)
-        return [pa.array(bk.signed(found[times > 1])), pa.array(times[times > 1])]
+        found, times = found[times > 1], times[times > 1]
+        edge = np.full(len(size) + 1, len(found), np.int32)
+        edge[0] = 0
+        again = pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(bk.signed(found)), pa.array(times)], ["h", "times"]))
+        return [part.column(0), part.column(1), pa.array(size), pa.array(bk.signed(keys)), pa.array([x.tobytes() for x in bitmaps(s, first)], pa.binary()), again]
+
+    return _groups(docs, [("doc_id", kind), ("row_key", "long"), ("n", "long"), ("class", "long"), ("bitmap", "binary"), ("again", "array<struct<h:long,times:long>>")], work)
+
 
-    rows = _groups(docs, [("h", "long"), ("times", "long")], work)
-    top = rows.groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT_TIMES).orderBy(F.desc("times"), "h").limit(FREQUENT_MOST).select("h").toArrow()
+def frequent(signed: DataFrame) -> np.ndarray:
+    """The most frequent of the shingles that recur inside groups, FREQUENT_MOST at most; sorted."""
+    rows = signed.select(F.explode("again").alias("a")).groupBy("a.h").agg(F.sum("a.times").alias("times"))
+    top = rows.where(F.col("times") >= FREQUENT_TIMES).orderBy(F.desc("times"), "h").limit(FREQUENT_MOST).select("h").toArrow()
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -250,11 +252,10 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     signed = checkpointed(signatures(docs))
     classes = signed.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("least"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     classes = checkpointed(classes)
-    lists = inverted(docs, frequent(docs), percent)
+    lists = inverted(docs, frequent(signed), percent)
     shared = lists.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
-    hits = checkpointed(lists.join(shared, "h"))
+    hits = checkpointed(lists.join(shared, "h").groupBy("h", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     release(spark)
-    hits = checkpointed(hits.groupBy("h", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     texts = _packed(docs)
     answers = spark.range(0).select(*[F.col("id").alias(c) for c in ("a", "b", "common", "total")])
     near = (100 * F.col("common") >= percent * F.col("total"))
@@ -278,14 +279,8 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
 
     open_lists = hits
     for turn in range(STAR_ROUNDS):
-        # A list is done when all its members are in one component.
-        with_label = open_lists.join(labels, open_lists["class"] == labels["node"]).drop("node")
-        undone = with_label.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("h")
-        open_lists = checkpointed(with_label.join(undone, "h").select("h", "class", "n", "pos"))
-        if open_lists.isEmpty():
-            return signed, answers.where(near), labels
         turned = F.xxhash64(F.lit(turn), F.col("class"))
-        ends = open_lists.groupBy("h").agg(F.min_by(F.struct("class", "n", "pos"), turned).alias("p"), F.max_by(F.struct("class", "n", "pos"), turned).alias("q"))
+        ends = open_lists.groupBy("h").agg(F.min_by(F.struct("class", "n", "pos"), turned).alias("p"), F.max_by(F.struct("class", "n", "pos"), turned).alias("q")).where("p.class <> q.class")
         leaders = ends.select("h", F.explode(F.array("p", "q")).alias("leader"))
         member = open_lists.select("h", F.struct("class", "n", "pos").alias("member"))
         stars = leaders.join(member, "h").where(F.col("leader.class") != F.col("member.class")).where(_possible("leader", "member", percent))

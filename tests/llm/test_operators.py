@@ -1,0 +1,214 @@
+"""Each operator against brute force, exact round trips or held-out accuracy, on edge cases."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from parlance.llm import forced_bpe, kd_shard, license_scan, media_ts, mixing, ngram_join, pfp_dedup, queries, rule_ensemble, rule_ledger, style_tree
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def by_id(frame):
+    return {r["doc_id"]: r for r in frame.collect()}
+
+
+def test_transport_stream_round_trip(docs, texts):
+    got = by_id(media_ts.read_back(media_ts.store(docs)))
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert got[i]["media_bytes"] % 188 == 0 and "cc_errors=0;crc_errors=0;broken=0" in got[i]["feature"]
+
+
+def test_transport_stream_faults():
+    payload = np.arange(64 * 400, dtype=np.uint64).astype(np.uint8)
+    media = media_ts.mux(payload).reshape(-1, 188)
+    lost = media_ts.demux(np.delete(media, 5, axis=0).reshape(-1))
+    assert lost.cc_errors == 1 and sum(u.broken for u in lost.units) == 1
+    twice = media_ts.demux(np.insert(media, 5, media[5], axis=0).reshape(-1))
+    assert twice.duplicates == 1 and b"".join(u.data for u in twice.units) == payload.tobytes()
+    bad = media.copy()
+    bad[0, 10] ^= 1
+    assert media_ts.demux(bad.reshape(-1)).crc_errors == 1
+    units = media_ts.demux(media.reshape(-1)).units
+    assert [u.random_access for u in units][:5] == [True, False, False, False, True] and units[1].pts == 7200
+
+
+def test_shards(docs, texts, empty):
+    got = kd_shard.shard(docs, leaves=4).toPandas()
+    assert len(got) == len(texts) and set(got["shard"]) <= set(range(4))
+    size = got.groupby("shard")["size"].sum()
+    assert size.sum() == sum(len((t or "").encode()) + 1 for t in texts)
+    assert size.max() - size.sum() / 4 <= got["size"].max()
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+    assert kd_shard.shard(empty).count() == 0
+
+
+def test_shards_divide_one_large_group(spark):
+    rows = spark.range(4000).selectExpr("id AS doc_id", "'same text' AS text", "'s' AS source", "'en' AS lang")
+    size = kd_shard.shard(rows).groupBy("shard").count().toPandas()["count"]
+    assert len(size) == 16 and size.max() - size.min() <= 4
+
+
+PAGE = "<html><body><header>H</header><nav><a href=x>menu</a></nav><div class='cookie-notice'>N</div><article><h1>T &amp; t</h1><p>one\n two<br>three<p>four &lt;b&gt;<ul><li>x<li>y</ul><div class='comments'><p>no</p></div></article><aside>s</aside><form>q</form><footer>f</footer><script>var a='</p>'</script>"
+
+
+def test_main_text(spark):
+    pages = spark.createDataFrame([(1, "http://h.example/1", PAGE), (2, None, None), (3, "x", ""), (4, "http://h.example/2", "<p>plain<p>text<di")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()}
+    assert got == {1: "T & t\n\none two three\n\nfour <b>\n\nx\n\ny", 2: "", 3: "", 4: "plain\n\ntext"}
+    assert style_tree.extract(pages.limit(0)).count() == 0
+
+
+def test_style_tree_drops_what_every_page_repeats(spark):
+    page = "<body><div class='shell'><p>{}</p></div><div class='strip'><span>Same words on all pages</span></div>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(f"Text number {i}")) for i in range(12)], "page_id long, url string, html string")
+    assert {r["text"] for r in style_tree.extract(pages).collect()} == {f"Text number {i}" for i in range(12)}
+
+
+def test_style_tree_keeps_copies_of_a_page(spark):
+    page = "<body><article><p>{}</p></article>"
+    rows = [(i, f"http://h.example/{i}", page.format("copied article")) for i in range(20)]
+    assert {r["text"] for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"copied article"}
+
+
+def test_repeats(docs, texts, empty):
+    got = by_id(pfp_dedup.digest(docs))
+    want = pfp_dedup.brute_force([(t or "").encode() for t in texts])
+    assert [tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == want
+    assert sum(w[1] for w in want) > 0
+    assert pfp_dedup.digest(empty).count() == 0
+
+
+def test_licenses(docs, spark):
+    texts = list(license_scan.TEMPLATES.values()) + ["nothing", None, "", "x " * 50 + license_scan.TEMPLATES["MIT-text"].replace("Software", "software!") + " y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(dict)
+    for r in license_scan.scan(rows).collect():
+        got[r["doc_id"]][r["license"]] = round(r["containment"], 9)
+    for i, t in enumerate(texts):
+        assert got.get(i, {}) == {k: round(v, 9) for k, v in license_scan.brute_force(t, license_scan.TEMPLATES).items()}
+    assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_targets():
+    got = mixing.targets([100, 10, 50], [3, 1, 2])
+    assert got.sum() == pytest.approx(240) and (got <= np.array([200, 20, 100]) + 1e-9).all()
+    assert mixing.targets([0, 0], [3, 1]).tolist() == [0, 0]
+    quotas = np.array([7, 0, 13, 22])
+    shares = mixing.split(quotas, 5)
+    assert (shares.sum(axis=1) == quotas).all() and np.ptp(shares.sum(axis=0)) <= 1
+
+
+def test_mix(docs, texts, empty):
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == len(texts) and (got["taken"] <= 2 * got["size"]).all()
+    for i, t in enumerate(texts):
+        assert got.loc[got["doc_id"] == i, "size"].item() == len(WORD.findall(t or ""))
+    sums = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(sums["taken"] - sums["target"]) <= 1).all()
+    again = mixing.mix(docs.repartition(5)).toPandas()
+    assert got.set_index("doc_id")["taken"].sort_index().equals(again.set_index("doc_id")["taken"].sort_index())
+    assert mixing.mix(empty).count() == 0
+
+
+def test_rule_ensemble(spark, docs):
+    base = "/root/testdata/sf0.01"
+    all_docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    model = rule_ensemble.fit(all_docs, labels)
+    got = rule_ensemble.score(all_docs, model).join(labels, "doc_id").where("held_out").toPandas()
+    assert (got["predicted"] == got["quality"]).mean() > 0.95
+    assert rule_ensemble.score(docs, model).where("score is null or score < 0 or score > 1").isEmpty()
+    none = rule_ensemble.fit(all_docs, labels.limit(0))
+    assert not none.rules and none.bias == 0
+
+
+def test_bpe_equals_the_library(docs, texts):
+    from tokenizers import Tokenizer
+
+    path = queries.byte_vocabulary()
+    lib = Tokenizer.from_file(path)
+    got = by_id(forced_bpe.digest(docs, path))
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        back = lib.decode(ids, skip_special_tokens=False)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    e = forced_bpe.Encoder(path)
+    parts = ["a", " ", "  ", "\n", "\n\n", "'s", "é", "à", " ", "　", "<|endoftext|>", "12", ".", "日本", "\t", "\x1c", "\x85", "😀", " ", "Ω"]
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        s = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12)))
+        ids = lib.encode(s, add_special_tokens=False).ids
+        assert e.encode(s) == ids and e.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_encode_decode_tables(docs, texts):
+    path = queries.byte_vocabulary()
+    back = by_id(forced_bpe.decode(forced_bpe.encode(docs, path), path))
+    assert [back[i]["text"] for i in range(len(texts))] == [t or "" for t in texts]
+
+
+def measured(t: str) -> tuple[int, ...]:
+    w, t = WORD.findall(t or ""), t or ""
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    tri = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rule_ledger(docs, texts, empty):
+    more = [*texts, "a\na\n\nb|\na", "\n\n", "x\ny", "# # # #\n# # # #"]
+    frame = docs.sparkSession.createDataFrame(list(enumerate(more)), "doc_id long, text string")
+    got = by_id(rule_ledger.apply_policy(rule_ledger.ledger(frame)))
+    for i, t in enumerate(more):
+        n = measured(t)
+        assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == n, (i, t)
+        assert got[i]["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (got[i]["base_failed"] and got[i]["kept"])
+    book = rule_ledger.ledger(docs)
+    cut = {r["rule"]: (r["failed"], r["rejected_by_it_alone"]) for r in rule_ledger.ablation(book).collect()}
+    bits = [r["fail_bits"] for r in book.collect()]
+    assert cut["too_few_words"] == (sum(b & 1 for b in bits), sum(b == 1 for b in bits))
+    assert rule_ledger.ledger(empty).count() == 0
+    assert rule_ledger.passing(docs).columns == docs.columns
+
+
+def joined(texts) -> list[tuple[int, int]]:
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    near = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(sets)):
+            for b in range(a):
+                if near[a] != near[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    near[a] = near[b] = min(near[a], near[b])
+                    changed = True
+    return [(len(s), n) for s, n in zip(sets, near, strict=True)]
+
+
+def test_ngram_join(docs, texts, empty):
+    got = by_id(ngram_join.join(docs))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == joined(texts)
+    assert ngram_join.join(empty).count() == 0
+
+
+def test_one_of_each(docs, texts):
+    kept = sorted(r["doc_id"] for r in ngram_join.one_of_each(docs).collect())
+    assert kept == sorted({c for _, c in joined(texts)})
+
+
+def test_repeated_rows(docs):
+    twice = docs.where("doc_id between 9 and 12").union(docs.where("doc_id between 9 and 12"))
+    n = twice.count()
+    assert pfp_dedup.digest(twice).count() == n and ngram_join.join(twice).count() == n and mixing.mix(twice).count() == n and kd_shard.shard(twice).count() == n
+    assert pfp_dedup.digest(twice).where("n_bytes >= 400 and n_removed < n_bytes").isEmpty()
