@@ -120,3 +120,75 @@ def minimal_cleanup(c: Column) -> Column:
     for pattern, to in (("(?i)<n>", " "), (SPACES, " "), (r"^ | $", ""), (r"(?i)Article 11\s+that\s+Article 11", "Article 11"), (r"(?i)arbitrarily\s+arbitrary", "arbitrary"), (r"(?i)\bis\s+entitlement\s+to\b", "is entitled to"), (r"(?i)\bthe\s+1\s+first\s+", "the 1st "), (r"(?i)\bfirst\s+limbs\b", "first limb"), (r"\b(\d+)\.\1\.\s+", "$1. ")):
         c = F.regexp_replace(c, pattern, to)
     return c
+
+
+# Markers of questions and answers, in the order in which they are tried.
+QUESTION_MARKERS = ["\u0db4\u0dd4:", "Q.", "Q:"]
+ANSWER_MARKERS = ["A:", "A.", "\u0d8b:", "c:", "C:"]
+BODY_MARK = "=== BODY ==="
+
+
+def question_answer(c: Column) -> Column:
+    """A line's question or answer marker as Q: or A:."""
+    t = F.trim(c)
+    out = t
+    for kind, marks in (("A:", ANSWER_MARKERS), ("Q:", QUESTION_MARKERS)):
+        for m in reversed(marks):
+            out = F.when(t.startswith(m), F.concat(F.lit(kind), F.trim(F.substr(t, F.lit(len(m) + 1))))).otherwise(out)
+    return out
+
+
+def body_lines(c: Column) -> Column:
+    """The non-blank lines after the body mark; none without the mark."""
+    parts = F.split(c, BODY_MARK, 2)
+    return F.when(F.size(parts) > 1, F.filter(F.transform(F.split(parts[1], "\n"), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+
+
+def joined_body(c: Column) -> Column:
+    """Everything up to the body mark as it is, the body's lines joined by one space."""
+    parts = F.split(c, BODY_MARK, 2)
+    return F.when(F.size(parts) > 1, F.concat(parts[0], F.lit(BODY_MARK + "\n"), F.array_join(body_lines(c), " "))).otherwise(c)
+
+
+def edge_numbers(c: Column) -> Column:
+    """A line without page-like numbers at its ends; fractions, enumerations and years stay."""
+    dash = "[-\u2013\u2014:)]*"
+    lead = rf"(?i)^\s*(?:\d{{1,3}}(?![A-Za-z])\s*{dash}\s*|\d{{1,3}}\s+of\s+\d{{1,3}}\s*{dash}\s*)"
+    trail = r"(?i)(?:[-\u2013\u2014:(]*\s*\d{1,3}\s*|\s*\d{1,3}\s+of\s+\d{1,3}\s*)\s*$"
+    first, last = F.regexp_extract(c, r"^\s*(\S+)", 1), F.regexp_extract(c, r"(\S+)\s*$", 1)
+    many = lambda t: F.length(F.regexp_replace(t, r"\D", "")) >= 4
+    cut = lambda x, p: F.regexp_replace(x, p, "")
+    plain = cut(cut(cut(cut(cut(c, r"(?i)^\s*Page\s*\d+\s*(?:of\s*\d+)?\s*"), lead), trail), r"(?i)^\s*of\s+\d{1,3}\s*[-\u2013\u2014:]?\s*"), r"(?i)\s*[-\u2013\u2014:]?\s*of\s+\d{1,3}\s*$")
+    listed = c.rlike(r"^\(?\d{1,3}[.)]\s")
+    return (
+        F.when(c.rlike(r"^\s*\d+/[A-Za-z0-9]") | (c == ""), c)
+        .when(listed & many(last), F.trim(c))
+        .when(listed | many(first), F.trim(cut(c, trail)))
+        .when(many(last), F.trim(cut(c, lead)))
+        .otherwise(F.trim(plain))
+    )
+
+
+def keep_safely(original: Column, candidate: Column) -> Column:
+    """The cleaned line; the original where it holds a legal word, or where cleaning leaves nothing of some letters."""
+    letters = F.length(F.regexp_replace(original, "[^A-Za-z]", "")) >= 3
+    return F.when(original.rlike(LEGAL_WORDS), F.trim(original)).when((F.trim(candidate) == "") & letters, F.trim(original)).otherwise(F.trim(candidate))
+
+
+def chosen_summary(final: Column, bullets: Column) -> Column:
+    """The final text, else the bullets joined; without the note on compression."""
+    text = F.coalesce(F.when(final != "", final), F.array_join(F.filter(bullets, lambda b: b != ""), "\n"))
+    return F.trim(F.regexp_replace(F.trim(text), r"(?i)\s*\(compressed from selected clauses\)\s*", " "))
+
+
+def reasoning_part(c: Column) -> Column:
+    """What stands between the reasoning and holding headings of a summary."""
+    after = F.when(c.contains("Key reasoning"), F.trim(F.element_at(F.split(c, "Key reasoning", 2), -1))).otherwise(c)
+    after = F.when(after.contains("compressed from selected clauses):"), F.trim(F.element_at(F.split(after, r"\):", 2), -1))).otherwise(after)
+    return squeeze(F.when(after.contains("Key holding"), F.split(after, "Key holding", 2)[0]).otherwise(after))
+
+
+def natural_key(c: Column) -> Column:
+    """Sorts digit runs by value and letters without case."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")

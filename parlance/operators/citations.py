@@ -23,6 +23,7 @@ CITATION_PATTERNS = [
     (r"\[[^\]]*SC Appeal No[^\]]*(\d+)/(\d{4})[^\]]*\]", "SC/CA/"),
     (r"SC/(\d+)/(\d{4})", "SC/"),
 ]
+CASE_PATTERNS = [r"(?i)SC[_\s]?(?:CA|FR|SPL)?[_\s]?(\d+)[_\s]?(\d{4})", r"(?i)SC[/\s]?(?:CA|FR|APPEAL)[/\s]?(\d+)[/\s]?(\d{4})", r"(?i)SC\s+Appeal\s+(?:No[:\s]*)?(\d+)[/\s]?(\d{4})", r"(?i)SC[_\s/](\d+)[_\s/](\d{4})"]
 QUOTES = [r'"([^"]+)"', "\u201c([^\u201d]+)\u201d", r"'([^']+)'"]
 
 
@@ -46,7 +47,62 @@ def cited_document(c: Column) -> Column:
 
 
 def case_number(c: Column) -> Column:
-    return F.struct(F.regexp_extract(c, r"^SC_(?:CA_|FR_)?(\d+)_(\d{4})", 1).alias("number"), F.regexp_extract(c, r"^SC_(?:CA_|FR_)?(\d+)_(\d{4})", 2).alias("year"))
+    """number/year of a case name or citation by the first pattern that is found; null if none is."""
+    tries = [F.concat(F.regexp_extract(c, p, 1), F.lit("/"), F.regexp_extract(c, p, 2)) for p in CASE_PATTERNS]
+    return F.coalesce(*[F.when(t != "/", t) for t in tries])
+
+
+def citation_name(c: Column, own: Column) -> Column:
+    """The document that a citation names (type CA unless it says FR); null without a case or for ``own`` itself."""
+    number = case_number(c)
+    name = F.concat(F.lit("SC_"), F.when(c.rlike(r"(?i)SC[/\s]?FR[/\s]?"), "FR").otherwise("CA"), F.lit("_"), F.replace(number, F.lit("/"), F.lit("_")))
+    return F.when(number.isNotNull() & ~F.coalesce(number == case_number(own), F.lit(False)), name)
+
+
+def position_score(cites: Column, idx: Column, n: Column) -> Column:
+    """Citing clauses of the middle part count more; others 0."""
+    p = idx / n
+    return F.when(~cites, 0.0).when((p > 0.2) & (p < 0.8), 1 - 0.5 * p).otherwise(0.5)
+
+
+def importance(rows: DataFrame, precedent: DataFrame) -> DataFrame:
+    """Share of citations plus half the mean importance of the distinct cited documents, 1 at most.
+
+    ``rows``: doc_id, clause_id, text; ``precedent``: name, importance."""
+    n = counts(rows)
+    cited = n.select("doc_id", "clause_id", F.explode(F.array_distinct(F.filter(F.transform(citations(F.col("text")), cited_document), lambda x: x.isNotNull()))).alias("name"))
+    mean = cited.join(precedent, "name", "left").groupBy("doc_id", "clause_id").agg(F.avg(F.coalesce("importance", F.lit(0.0))).alias("mean"))
+    both = n.join(mean, ["doc_id", "clause_id"], "left")
+    return both.select("doc_id", "clause_id", F.round(F.least(F.lit(1.0), F.col("share") + 0.5 * F.coalesce("mean", F.lit(0.0))), 6).alias("citation_importance"))
+
+
+def precedent_rank(pairs: DataFrame, iterations: int, alpha: float = 0.85) -> DataFrame:
+    """Unweighted PageRank of the citation graph over documents, divided by its greatest.
+
+    One join and one aggregation per iteration; the mass of documents that cite nothing is
+    one number, summed on the executors."""
+    names = pairs.select(F.col("doc").alias("name")).union(pairs.select(F.col("cited").alias("name"))).distinct()
+    out = pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("out"))
+    total = names.agg(F.count(F.lit(1)).alias("n"))
+    share = pairs.join(out, "doc").select(F.col("doc").alias("name"), "cited", (1 / F.col("out")).alias("p"))
+    ranks = names.crossJoin(F.broadcast(total)).join(out.select(F.col("doc").alias("name"), "out"), "name", "left").select("name", "n", F.col("out").isNull().alias("dangling"), (1 / F.col("n")).alias("rank"))  # one row
+    for _ in range(iterations):
+        sent = share.join(ranks.select("name", "rank"), "name").groupBy(F.col("cited").alias("name")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
+        lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("lost"))
+        ranks = ranks.crossJoin(F.broadcast(lost)).join(sent, "name", "left").select("name", "n", "dangling", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - alpha) / F.col("n")).alias("rank"))  # one row
+    top = ranks.agg(F.max("rank").alias("top"))
+    return ranks.crossJoin(F.broadcast(top)).select("name", F.round(F.col("rank") / F.col("top"), 6).alias("importance"))  # one row
+
+
+def external_edges(links: DataFrame) -> DataFrame:
+    """Citation links as edges to external nodes named document::clause_n; ``links``: doc, source, found, target_clause."""
+    return links.select(F.col("doc").alias("doc_id"), F.col("source").cast("string").alias("source"), F.concat_ws("", "found", F.lit("::clause_"), F.col("target_clause").cast("string")).alias("target"), F.lit("inter_citation").alias("relation"), F.col("found").alias("cited_doc"))
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key by position."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def quoted(c: Column, least: int = 30) -> Column:

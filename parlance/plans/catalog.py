@@ -491,6 +491,119 @@ def graph_json_roundtrip(spark, sf_dir):
     return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("e.score"), 5).alias("total"))
 
 
+LITERAL_LINES = ["Page 3 of 9 the order was made", "12 the text 14", "(1) first item 2010", "2010 was the year 7", "the year was 2010", "12/A block", "of 7 remain 3 of 9", "45", "the Court 12", "", "7 - abc"]
+
+
+@query()
+def line_edge_numbers(spark, sf_dir):
+    rows = src.literal(spark, list(enumerate(LITERAL_LINES)), "id int, t string")
+    return rows.select("id", tx.edge_numbers(F.col("t")).alias("cut"), tx.keep_safely(F.col("t"), tx.edge_numbers(F.col("t"))).alias("kept"))
+
+
+ASKED = ["Q. why", "Q:why", " A. because", "c: yes", "C: no", "plain", "පු: x", "උ: y"]
+
+
+@query("SELECT * FROM (VALUES (0, 'Q:why'), (1, 'Q:why'), (2, 'A:because'), (3, 'A:yes'), (4, 'A:no'), (5, 'plain'), (6, 'Q:x'), (7, 'A:y')) v(id, line)")
+def question_answer_markers(spark, sf_dir):
+    return src.literal(spark, list(enumerate(ASKED)), "id int, t string").select("id", tx.question_answer(F.col("t")).alias("line"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) ELSE 0 END AS n, CASE WHEN doc_id % 2 = 0 THEN 'meta' || chr(10) || '=== BODY ===' || chr(10) || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''), lambda x: trim(x, ' ')), ' ') ELSE text END AS joined FROM documents")
+def marked_body(spark, sf_dir):
+    d = src.table(spark, sf_dir, "documents")
+    marked = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("meta\n=== BODY ===\n"), "text")).otherwise(F.col("text")).alias("t"))
+    return marked.select("doc_id", F.size(tx.body_lines(F.col("t"))).alias("n"), tx.joined_body(F.col("t")).alias("joined"))
+
+
+@query(r"WITH d AS (SELECT doc_id, 'ab-' || chr(10) || 'cd' || chr(10) || 'ef. ' || chr(10) || chr(10) || chr(10) || 'X' || chr(10) || 'Y' || doc_id AS t FROM documents) SELECT doc_id, 'abcd ef. ' || chr(10) || chr(10) || 'X Y' || doc_id AS text FROM d")
+def paragraph_cleaning(spark, sf_dir):
+    t = F.concat(F.lit("ab-\ncd\nef. \n\n\nX\nY"), F.col("doc_id").cast("string"))
+    return src.table(spark, sf_dir, "documents").select("doc_id", tx.clean_paragraphs(t).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Key points stay' || doc_id WHEN doc_id % 3 = 1 THEN 'one' || chr(10) || 'two' END AS summary FROM documents")
+def summary_choice(spark, sf_dir):
+    d = src.table(spark, sf_dir, "documents").select("doc_id")
+    final = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Key points (compressed from selected clauses) stay"), "doc_id")).when(F.col("doc_id") % 3 == 1, "")
+    bullets = F.when(F.col("doc_id") % 3 == 1, F.array(F.lit("one"), F.lit(""), F.lit("two")))
+    return d.select("doc_id", tx.chosen_summary(final, bullets).alias("summary"))
+
+
+@query("SELECT doc_id, '1. reason ' || doc_id AS reasoning FROM documents")
+def reasoning_extract(spark, sf_dir):
+    t = F.concat(F.lit("Lead.\nKey reasoning (compressed from selected clauses):\n1. reason  "), F.col("doc_id"), F.lit("\nKey holding (verbatim clause): h"))
+    return src.table(spark, sf_dir, "documents").select("doc_id", tx.reasoning_part(t).alias("reasoning"))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS place FROM documents WHERE doc_id < 200")
+def natural_order(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", tx.natural_key(F.concat(F.lit("Case"), "doc_id", F.lit(".txt"))).alias("k"))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy().orderBy("k")).alias("place"))
+
+
+CASES = [("SC_CA_12_2010", "SC/CA/12/2010"), ("SC_FR_4_2009", "SC FR 4 2009"), ("SC_7_2001", "SC Appeal No: 9/2011"), ("x", "none"), ("SC_CA_1_2000", "SC/3/1999")]
+
+
+@query("SELECT d.doc_id * 10 + id AS key, v.name FROM documents d, (VALUES (1, NULL), (2, NULL), (3, 'SC_CA_9_2011'), (4, NULL), (5, 'SC_CA_3_1999')) v(id, name)")
+def citation_names(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, [(i, *c) for i, c in enumerate(CASES, 1)], "id int, own string, c string")))  # literal rows
+    return rows.select((F.col("doc_id") * 10 + F.col("id")).alias("key"), citations.citation_name(F.col("c"), F.col("own")).alias("name"))
+
+
+def _precedent_sql(k: int) -> str:
+    out = f"{GRAPH_SQL}, names AS (SELECT DISTINCT name FROM (SELECT doc AS name FROM g UNION ALL SELECT cited FROM g)), o AS (SELECT doc AS name, count(*) AS o FROM g GROUP BY doc), q0 AS (SELECT name, o, 1.0 / count(*) OVER () AS r FROM names LEFT JOIN o USING (name))"
+    for i in range(k):
+        out += f", h{i} AS (SELECT g.cited AS name, sum(r / o) AS got FROM g JOIN q{i} q ON q.name = g.doc GROUP BY g.cited), q{i + 1} AS (SELECT name, o, 0.85 * (coalesce(got, 0) + sum(CASE WHEN o IS NULL THEN r ELSE 0 END) OVER () / count(*) OVER ()) + 0.15 / count(*) OVER () AS r FROM q{i} LEFT JOIN h{i} USING (name))"
+    return out + f", pr AS (SELECT name, round(r / max(r) OVER (), 6) AS importance FROM q{k})"
+
+
+@query(f"WITH {_precedent_sql(3)} SELECT name, importance FROM pr")
+def precedent_rank(spark, sf_dir):
+    return citations.precedent_rank(citations.citation_graph(named(spark, sf_dir)), 3)
+
+
+@query(f"""WITH {_precedent_sql(3)}, t AS (SELECT name, {CITED_SQL} AS cs FROM named), m AS (SELECT x.who AS name, avg(coalesce(pr.importance, 0)) AS m FROM (SELECT name AS who, unnest(list_distinct(list_transform(list_filter(cs, lambda x: regexp_matches(x, '^SC/(CA|FR)/')), lambda x: replace(x, '/', '_')))) AS c FROM t) x LEFT JOIN pr ON pr.name = x.c GROUP BY x.who)
+SELECT t.name AS doc_id, 1 AS clause_id, round(least(1.0, CASE WHEN len(cs) > 0 THEN 1.0 ELSE 0.0 END + 0.5 * coalesce(m, 0)), 6) AS citation_importance FROM t LEFT JOIN m USING (name)""")
+def citation_importance(spark, sf_dir):
+    rows = named(spark, sf_dir)
+    return citations.importance(rows.select(F.col("name").alias("doc_id"), F.lit(1).alias("clause_id"), "text"), citations.precedent_rank(citations.citation_graph(rows), 3))
+
+
+@query(f"WITH {NODES}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM nodes) SELECT doc_id, clause_id, CASE WHEN (doc_id + clause_id) % 2 = 1 THEN 0.0 WHEN idx / n > 0.2 AND idx / n < 0.8 THEN round(1 - 0.5 * idx / n, 6) ELSE 0.5 END AS score FROM n")
+def citation_position(spark, sf_dir):
+    n = nodes_of(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    return n.select("doc_id", "clause_id", F.round(citations.position_score((F.col("doc_id") + F.col("clause_id")) % 2 == 0, F.col("idx"), F.col("n")), 6).alias("score"))
+
+
+@query(f"WITH {GRAPH_SQL}, c AS (SELECT doc, cited, unnest(ns) AS name, unnest(range(len(ns))) AS o FROM (SELECT *, CASE WHEN starts_with(cited, 'SC_CA_') THEN ['SC_' || substr(cited, 7), 'SC_FR_' || substr(cited, 7), cited] ELSE [cited] END AS ns FROM g)), f AS (SELECT doc, cited, arg_min(name, o) AS found FROM c WHERE name IN (SELECT name FROM named) GROUP BY doc, cited) SELECT doc AS doc_id, '1' AS source, found || '::clause_2' AS target, 'inter_citation' AS relation, found AS cited_doc FROM f")
+def inter_document_edges(spark, sf_dir):
+    found = citation_lookup(spark, sf_dir)
+    return citations.external_edges(found.select("doc", F.lit(1).alias("source"), "found", F.lit(2).alias("target_clause")))
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, line FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) = 1")
+def first_seen_lines(spark, sf_dir):
+    return citations.first_seen(src.lines(src.table(spark, sf_dir, "documents")), ["doc_id", "line"], "pos").select("doc_id", "pos", "line")
+
+
+@query(f"WITH {LINES}, o AS (SELECT doc_id, pos, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM lines) SELECT doc_id, min(pos) AS page, arg_min(e, pos)::BIGINT AS page_end FROM o WHERE e >= 300 GROUP BY doc_id")
+def page_of_offset(spark, sf_dir):
+    """The line ("page") that holds the offset 300, by running lengths."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = src.lines(src.table(spark, sf_dir, "documents")).withColumn("e", F.sum(F.length("line") + 1).over(w)).where("e >= 300")
+    return rows.groupBy("doc_id").agg(F.min("pos").alias("page"), F.min_by("e", "pos").alias("page_end"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS best FROM embeddings")
+def argmax_logits(spark, sf_dir):
+    return src.table(spark, sf_dir, "embeddings").select("vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int").alias("best"))
+
+
+@query()
+def eval_rouge_l(spark, sf_dir):
+    return evaluate.rouge_l(paired(spark, sf_dir).where(F.length("reference") + F.length("candidate") < 4000))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

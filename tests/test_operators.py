@@ -113,3 +113,23 @@ def test_incremental_ingest(spark, tmp_path):
     spark.range(5, 8).write.parquet(str(tmp_path / "in/b"))
     ingest(spark, *where)
     assert spark.read.parquet(where[1]).count() == 8
+
+
+@pytest.mark.parametrize(
+    ("line", "left"),
+    [("12 the text 14", "the text"), ("2010 was the year 7", "2010 was the year"), ("the year was 2010", "the year was 2010"), ("12/A block", "12/A block"), ("45", ""), ("(1) first item 2010", "(1) first item 2010"), ("7 - abc", "abc")],
+)
+def test_edge_numbers(spark, line, left):
+    assert one(spark, tx.edge_numbers(F.lit(line))) == left
+
+
+def test_keep_safely(spark):
+    assert one(spark, tx.keep_safely(F.lit("the Court 12"), F.lit("the"))) == "the Court 12"
+    assert one(spark, tx.keep_safely(F.lit("abc 1"), F.lit(""))) == "abc 1"
+    assert one(spark, tx.keep_safely(F.lit("12"), F.lit(""))) == ""
+
+
+def test_mmr_prefers_what_differs(spark):
+    rows = spark.createDataFrame([(1, 1, 0, 1.0, [1.0, 0.0]), (1, 2, 1, 0.9, [1.0, 0.0]), (1, 3, 2, 0.8, [0.0, 1.0])], "doc_id int, clause_id int, idx int, score double, embedding array<double>")
+    got = [r["clause_id"] for r in ranking.mmr(rows, 2).orderBy("pick").collect()]
+    assert got == [1, 3]
