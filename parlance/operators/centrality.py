@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parlance.runtime import checkpointed
+
 ALPHA = 0.85
 
 
@@ -45,14 +47,16 @@ def premise_support(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, pairs: DataFrame, iterations: int, alpha: float = ALPHA) -> DataFrame:
-    """Weighted PageRank of every document's graph, all documents in one join per iteration.
+    """Weighted PageRank of every document's graph, all documents in one join per iteration, checkpointed.
 
     Dangling nodes give their rank to all nodes of the document."""
     ids = nodes.select("doc_id", "clause_id").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
     share = pairs.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("doc_id", "source"))).select("doc_id", "source", "target", "p")
+    share = checkpointed(share)
     ids = ids.join(share.select("doc_id", F.col("source").alias("clause_id"), F.lit(False).alias("dangling")).distinct(), ["doc_id", "clause_id"], "left").withColumn("dangling", F.coalesce("dangling", F.lit(True)))
     ranks = ids.withColumn("rank", 1 / F.col("n"))
     for _ in range(iterations):
+        ranks = checkpointed(ranks)
         sent = share.join(ranks.select("doc_id", F.col("clause_id").alias("source"), "rank"), ["doc_id", "source"]).groupBy("doc_id", F.col("target").alias("clause_id")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         lost = F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).over(Window.partitionBy("doc_id"))
         ranks = ranks.withColumn("lost", lost).join(sent, ["doc_id", "clause_id"], "left").select("doc_id", "clause_id", "n", "dangling", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - alpha) / F.col("n")).alias("rank"))

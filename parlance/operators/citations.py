@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parlance.runtime import checkpointed
+
 # Citation patterns in their order, with the type that a match of each has.
 CITATION_PATTERNS = [
     (r"SC/CA/(\d+)/(\d{4})", "SC/CA/"),
@@ -81,15 +83,18 @@ def precedent_rank(pairs: DataFrame, iterations: int, alpha: float = 0.85) -> Da
 
     One join and one aggregation per iteration; the mass of documents that cite nothing is
     one number, summed on the executors."""
+    pairs = checkpointed(pairs)
     names = pairs.select(F.col("doc").alias("name")).union(pairs.select(F.col("cited").alias("name"))).distinct()
     out = pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("out"))
     total = names.agg(F.count(F.lit(1)).alias("n"))
     share = pairs.join(out, "doc").select(F.col("doc").alias("name"), "cited", (1 / F.col("out")).alias("p"))
     ranks = names.crossJoin(F.broadcast(total)).join(out.select(F.col("doc").alias("name"), "out"), "name", "left").select("name", "n", F.col("out").isNull().alias("dangling"), (1 / F.col("n")).alias("rank"))  # one row
     for _ in range(iterations):
+        ranks = checkpointed(ranks)
         sent = share.join(ranks.select("name", "rank"), "name").groupBy(F.col("cited").alias("name")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("lost"))
         ranks = ranks.crossJoin(F.broadcast(lost)).join(sent, "name", "left").select("name", "n", "dangling", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - alpha) / F.col("n")).alias("rank"))  # one row
+    ranks = checkpointed(ranks)
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.crossJoin(F.broadcast(top)).select("name", F.round(F.col("rank") / F.col("top"), 6).alias("importance"))  # one row
 

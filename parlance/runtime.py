@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -20,6 +21,16 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of an iteration with a reliable checkpoint in the shared folder of the session.
+
+    Only where ``spark.checkpoint.dir`` is unset (tests) is a folder of our own used."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-checkpoint-"))
+    return df.checkpoint()
+
+
 def session(master: str = "local[*]", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
     spark = (
