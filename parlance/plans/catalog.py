@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from parlance.functions import text as tx
 from parlance.functions.vectors import cosine
-from parlance.operators import centrality, citations, context, evaluate, graph, ranking, segment, summarize
+from parlance.operators import centrality, citations, context, evaluate, graph, ranking, segment, structure, summarize
 from parlance.sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -599,6 +599,21 @@ def argmax_logits(spark, sf_dir):
     return src.table(spark, sf_dir, "embeddings").select("vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int").alias("best"))
 
 
+HEADS = ["SC 1 Decided on: 12.03.2010 Sisira de Abrew, J. The petitioner came", "DATE OF JUDGMENT 2 May 2011 the body", "no head at all", "Date and the body Decided on 2 May 2011 Rest"]
+
+
+@query("SELECT d.doc_id * 10 + id AS key, v.split_after FROM documents d, (VALUES (0, 'judge'), (1, 'date'), (2, NULL), (3, 'date')) v(id, split_after)")
+def metadata_split(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, list(enumerate(HEADS)), "id int, t string")))  # literal rows
+    return rows.select((F.col("doc_id") * 10 + F.col("id")).alias("key"), structure.metadata_split(F.col("t"))["split_after"].alias("split_after"))
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    d = src.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(structure.repair_sentences(structure.sentences(structure.clean_body(F.col("text"))))).alias("pos", "sentence"))
+
+
 @query()
 def eval_rouge_l(spark, sf_dir):
     return evaluate.rouge_l(paired(spark, sf_dir).where(F.length("reference") + F.length("candidate") < 4000))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
-from parlance.operators import centrality, citations, context, evaluate, ranking, segment
+from parlance.operators import centrality, citations, context, evaluate, ranking, segment, structure
 from parlance.plans import catalog
 
 
@@ -133,3 +133,16 @@ def test_mmr_prefers_what_differs(spark):
     rows = spark.createDataFrame([(1, 1, 0, 1.0, [1.0, 0.0]), (1, 2, 1, 0.9, [1.0, 0.0]), (1, 3, 2, 0.8, [0.0, 1.0])], "doc_id int, clause_id int, idx int, score double, embedding array<double>")
     got = [r["clause_id"] for r in ranking.mmr(rows, 2).orderBy("pick").collect()]
     assert got == [1, 3]
+
+
+def test_metadata_split():
+    assert structure.split_head("SC 1 Decided on: 12.03.2010 Sisira de Abrew, J. The petitioner came") == ("SC 1 Decided on: 12.03.2010 Sisira de Abrew, J.", "The petitioner came", "judge")
+    assert structure.split_head("DATE OF JUDGMENT 2 May 2011 the body") == ("DATE OF JUDGMENT 2 May 2011", "the body", "date")
+    assert structure.split_head("no head at all") == (None, "no head at all", None)
+
+
+def test_sentences(spark):
+    text = "See No. 12 of it. He came! (Vide the rest). Then (section 3) ended. (Section 4) holds"
+    assert one(spark, structure.sentences(F.lit(text))) == ["See No. 12 of it.", "He came! (Vide the rest).", "Then (section 3) ended. (Section 4) holds"]
+    assert structure.repaired(["1.", "First", "list; 2.", "Second", "By S.A.M.", "Silva came", "It runs", "(i) on"]) == ["1. First", "list;", "2. Second", "By S.A.M. Silva came", "It runs (i) on"]
+    assert structure.merge_lettered(["a.", "one", "", "b. two", "c."]) == ["a. one", "b. two", "c."]
