@@ -192,3 +192,95 @@ def natural_key(c: Column) -> Column:
     """Sorts digit runs by value and letters without case."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
+# Rewritings to the third person, in the order in which they are applied.
+THIRD_PERSON = [
+    (r"\bI\s+therefore\s+hold\b", "The Court therefore held"),
+    (r"\bI pointed out\b", "The Court pointed out"),
+    (r"\bI\s+set\s+aside\b", "The Court set aside"),
+    (r"\bI affirm\b", "The Court affirmed"),
+    (r"\bI answer\b", "The Court answers"),
+    (r"\bI\s+hold\b", "The Court holds"),
+    (r"\bI find\b", "The Court finds"),
+    (r"\bI dismiss\b", "The Court dismisses"),
+    (r"\bI allow\b", "The Court allows"),
+    (r"\bI proceed to dismiss\b", "The Court proceeds to dismiss"),
+    (r"\bI am of the view\b", "The Court is of the view"),
+    (r"\bI am of the considered opinion\b", "The Court was of the considered opinion"),
+    (r"\bI agree\b", "The Court agreed"),
+    (r"\bwe are of the opinion\b", "The Court is of the opinion"),
+    (r"\bwe find\b", "The Court finds"),
+    (r"\bwe hold\b", "The Court holds"),
+    (r"\bIn my view\b", "In the Court's view"),
+    (r"\bIn our view\b", "In the Court's view"),
+    (r"\bmy view\b", "the Court's view"),
+    (r"The Court finds myself\b", "The Court finds itself"),
+    (r"The Court found myself\b", "The Court found itself"),
+    (r"\bI find myself\b", "The Court finds itself"),
+    (r"\bI (?:am|was) mindful\b", "The Court is mindful"),
+    (r"\bI have to hold\b", "The Court had to hold"),
+    (r"\bI direct\b", "The Court directs"),
+    (r"enumerated by me\b", "enumerated above"),
+    (r"observed by me\b", "observed by the Court"),
+    (r"It appears to me\b", "It appears to the Court"),
+    (r"\bI took the view\b", "The Court took the view"),
+    (r"\bI unhesitatingly reject\b", "The Court unhesitatingly rejected"),
+    (r"\bI further declare\b", "The Court further declares"),
+    (r"\bI therefore, set aside\b", "The Court therefore set aside"),
+    (r"\bI declare\b", "The Court declares"),
+    (r"\bI am not inclined to hold\b", "The Court is not inclined to hold"),
+    (r"\bI uphold\b", "The Court upholds"),
+    (r"\bI order\b", "The Court orders"),
+    (r"\bI consider\b", "The Court considers"),
+    (r"\bI observe\b", "The Court observes"),
+    (r"\bI find\b", "The Court finds"),
+    (r"\bWe direct\b", "The Court directs"),
+    (r"\bWe are\b", "The Court is"),
+    (r"\bI make\b", "The Court makes"),
+    (r"\bI overrule\b", "The Court overrules"),
+    (r"\bI consider it appropriate\b", "The Court considers it appropriate"),
+    (r"\bwe wish to note\b", "The Court wishes to note"),
+    (r"\bWe are empowered\b", "The Court is empowered"),
+    (r"\bWe observe\b", "The Court observes"),
+    (r"\bwe proceed to\b", "The Court proceeds to"),
+    (r"\bWe also proceed to\b", "The Court also proceeds to"),
+    (r"\bwe are unable to see\b", "The Court is unable to see"),
+    (r"\bwe can direct\b", "The Court can direct"),
+    (r"\bwe specify\b", "The Court specifies"),
+    (r"\bwe have quashed\b", "The Court has quashed"),
+    (r"\bwe are mindful\b", "The Court is mindful"),
+    (r"\bI am of the opinion\b", "The Court is of the opinion"),
+    (r"\bI refuse\b", "The Court refuses"),
+]
+VERBS_AFTER_CONJUNCTION = ["denied", "held", "found", "stated", "allowed", "rejected", "affirmed", "dismissed", "ordered", "rather", "concluded", "ruled", "determined", "noted", "observed", "accepted", "refused", "reversed", "remanded", "applied", "considered", "decided"]
+
+
+def third_person(c: Column) -> Column:
+    out = F.trim(c)
+    for pattern, to in THIRD_PERSON:
+        out = F.regexp_replace(out, f"(?i){pattern}", to)
+    return F.regexp_replace(out, r"\b(\d+)\.\1\.\s+", "$1. ")
+
+
+def repaired_start(c: Column) -> Column:
+    """A line that starts with a conjunction as a statement of what the Court noted."""
+    s = F.trim(c)
+    lower_first = lambda x: F.concat(F.lower(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))
+    rest = lambda n: F.ltrim(F.substr(s, F.lit(n + 1)))
+    verb = lambda x: F.lower(F.split(x, SPACES)[0])
+    noted = lambda x: F.concat(F.when(verb(x).isin(VERBS_AFTER_CONJUNCTION), "The Court noted that it ").otherwise("The Court noted that "), lower_first(x))
+    but = rest(4)
+    low = F.lower(s)
+    return (
+        F.when(
+            low.startswith("but ") | low.startswith("but,"),
+            F.when(verb(but) == "denied", F.concat(F.lit("The Court noted that the Respondent "), lower_first(but)))
+            .when(verb(but) == "rather", F.concat(F.lit("The Court noted that the provision applies rather "), lower_first(F.ltrim(F.substr(but, F.lit(7))))))
+            .otherwise(noted(but)),
+        )
+        .when(low.startswith("even though "), noted(rest(12)))
+        .when(low.startswith("even "), noted(rest(5)))
+        .when(low.startswith("and the "), F.concat(F.lit("The Court noted that "), lower_first(rest(8))))
+        .otherwise(c)
+    )

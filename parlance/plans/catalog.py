@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from parlance.functions import text as tx
 from parlance.functions.vectors import cosine
-from parlance.operators import centrality, citations, context, evaluate, graph, ranking, segment, structure, summarize
+from parlance.operators import centrality, citations, context, evaluate, graph, ranking, segment, structure, summarize, translate
 from parlance.sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -614,6 +614,22 @@ def sentence_split(spark, sf_dir):
     return d.select("doc_id", F.posexplode(structure.repair_sentences(structure.sentences(structure.clean_body(F.col("text"))))).alias("pos", "sentence"))
 
 
+SPOKEN = ["I find that we hold it", "In my view I dismiss it", "but denied the claim", "But rather the act", "even though held so", "even So it was", "and the Court sat", "plain text"]
+
+
+@query("SELECT d.doc_id * 10 + id AS key, v.line FROM documents d, (VALUES (0, 'The Court finds that The Court holds it'), (1, 'In the Court''s view The Court dismisses it'), (2, 'The Court noted that the Respondent denied the claim'), (3, 'The Court noted that the provision applies rather the act'), (4, 'The Court noted that it held so'), (5, 'The Court noted that so it was'), (6, 'The Court noted that court sat'), (7, 'plain text')) v(id, line)")
+def third_person(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, list(enumerate(SPOKEN)), "id int, t string")))  # literal rows
+    return rows.select((F.col("doc_id") * 10 + F.col("id")).alias("key"), tx.repaired_start(tx.third_person(F.col("t"))).alias("line"))
+
+
+@query("SELECT doc_id, 'x §SIG0001. y ' || doc_id || ' §SIG0002' AS signed, 2 AS n, 'x ' || chr(3461) || chr(3512) || '. y ' || doc_id || ' ' || chr(2949) AS restored, chr(3461) || chr(3512) AS first_block FROM documents")
+def foreign_blocks(spark, sf_dir):
+    text = F.concat(F.lit("x අම. y "), F.col("doc_id"), F.lit(" அ"))
+    rows = src.table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).withColumn("s", translate.signed(F.col("t")))
+    return rows.select("doc_id", F.col("s.text").alias("signed"), F.size("s.signs").alias("n"), translate.restored(F.col("s.text"), F.col("s.signs")).alias("restored"), translate.first_block(F.col("t"))["text"].alias("first_block"))
+
+
 @query()
 def eval_rouge_l(spark, sf_dir):
     return evaluate.rouge_l(paired(spark, sf_dir).where(F.length("reference") + F.length("candidate") < 4000))

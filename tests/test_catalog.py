@@ -6,7 +6,7 @@ import pytest
 
 from parlance.plans import catalog
 
-CHECKED = ["top_clauses_per_document", "label_distribution", "context_string", "header_detect", "argument_graph", "degree_centrality", "citation_lookup", "adaptive_k_all_methods", "disposition_guarantee", "summary_guards", "eval_rouge2", "classification_report", "citation_importance", "marked_body", "citation_names", "page_of_offset"]
+CHECKED = ["top_clauses_per_document", "label_distribution", "context_string", "header_detect", "argument_graph", "degree_centrality", "citation_lookup", "adaptive_k_all_methods", "disposition_guarantee", "summary_guards", "eval_rouge2", "classification_report", "citation_importance", "marked_body", "citation_names", "page_of_offset", "third_person", "foreign_blocks", "metadata_split"]
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
