@@ -41,7 +41,9 @@ from parlance.llm.cluster import checkpointed, release
 
 WORDS, PERCENT = 5, 75
 #: Frequent shingles that are put last: at most so many, each seen so often in repeats inside batches.
-FREQUENT_MOST, FREQUENT_TIMES = 200_000, 8
+FREQUENT_MOST, FREQUENT_TIMES = 200_000, 4
+#: Bytes of text among which recurring shingles are looked for.
+RECUR_BYTES = 4 << 20
 BITMAP_BYTES = 128
 STAR_ROUNDS = 1
 
@@ -100,13 +102,13 @@ def bitmaps(s: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def _groups(docs: DataFrame, fields: list[tuple[str, str]], work) -> DataFrame:
+def _groups(docs: DataFrame, fields: list[tuple[str, str]], work, limit: int = bk.GROUP_BYTES) -> DataFrame:
     """Runs ``work(part, sets, first)`` over groups of documents."""
     docs = bk.bounded_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offs in bk.groups(batch, "text"):
+            for part, buf, offs in bk.groups(batch, "text", limit):
                 yield pa.RecordBatch.from_arrays(work(part, *sets(buf, offs)), [name for name, _ in fields])
 
     return docs.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in fields))
@@ -131,7 +133,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         again = pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(bk.signed(found)), pa.array(times)], ["h", "times"]))
         return [part.column(0), part.column(1), pa.array(size), pa.array(bk.signed(keys)), pa.array([x.tobytes() for x in bitmaps(s, first)], pa.binary()), again]
 
-    return _groups(docs, [("doc_id", kind), ("row_key", "long"), ("n", "long"), ("class", "long"), ("bitmap", "binary"), ("again", "array<struct<h:long,times:long>>")], work)
+    return _groups(docs, [("doc_id", kind), ("row_key", "long"), ("n", "long"), ("class", "long"), ("bitmap", "binary"), ("again", "array<struct<h:long,times:long>>")], work, RECUR_BYTES)
 
 
 def frequent(signed: DataFrame) -> np.ndarray:
@@ -254,6 +256,8 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     classes = checkpointed(classes)
     lists = inverted(docs, frequent(signed), percent)
     shared = lists.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    shared = checkpointed(shared)
+    release(spark)
     hits = checkpointed(lists.join(shared, "h").groupBy("h", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     release(spark)
     texts = _packed(docs)
@@ -299,12 +303,19 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
 
 
 def _not_far(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs that the exact distances to a common leader prove too far: d(x, y) >= |d(x, l) - d(l, y)|."""
+    """Drops pairs that known exact distances prove too far: d(x, y) >= d(l, y) - d(l, x) for the set l that is nearest to x.
+
+    Each class has one nearest set among its answers, so every join here is by a key that is
+    unique on one side."""
     d = 1 - F.col("common") / F.col("total")
-    both = answers.select("a", "b", d.alias("d")).union(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), d.alias("d")))
-    one, two = both.select("a", F.col("b").alias("l"), F.col("d").alias("dx")), both.select(F.col("a").alias("b"), F.col("b").alias("l"), F.col("d").alias("dy"))
-    far = pairs.join(one, "a").join(two, ["b", "l"]).where(F.abs(F.col("dx") - F.col("dy")) > 1 - percent / 100 + 1e-9).select("a", "b").distinct()
-    return checkpointed(pairs.join(far, ["a", "b"], "left_anti"))
+    both = checkpointed(answers.select("a", "b", d.alias("d")).union(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), d.alias("d"))))
+    nearest = checkpointed(both.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", "b")).alias("l")).select("a", F.col("l.b").alias("l"), F.col("l.d").alias("dl")))
+    known = both.select(F.col("a").alias("l"), F.col("b").alias("far_end"), F.col("d").alias("dy"))
+    for x, y in (("a", "b"), ("b", "a")):
+        near = nearest.select(F.col("a").alias(x), "l", "dl")
+        tried = pairs.join(near, x, "left").withColumn("far_end", F.col(y)).join(known, ["l", "far_end"], "left")
+        pairs = tried.where(F.coalesce(F.col("dy") - F.col("dl"), F.lit(0.0)) <= 1 - percent / 100 + 1e-9).select("a", "b")
+    return checkpointed(pairs)
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
