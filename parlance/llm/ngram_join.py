@@ -43,7 +43,7 @@ WORDS, PERCENT = 5, 75
 #: Frequent shingles that are put last: at most so many, each seen so often in repeats inside batches.
 FREQUENT_MOST, FREQUENT_TIMES = 200_000, 4
 #: Bytes of text among which recurring shingles are looked for.
-RECUR_BYTES = 4 << 20
+RECUR_BYTES = 2 << 20
 BITMAP_BYTES = 128
 STAR_ROUNDS = 1
 
@@ -143,8 +143,8 @@ def frequent(signed: DataFrame) -> np.ndarray:
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def inverted(docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """The lists: element h, class, size n and position of the element in the set's order."""
+def inverted(docs: DataFrame, last: np.ndarray, percent: int = PERCENT, bare: bool = False) -> DataFrame:
+    """The lists: element h, class, size n and position of the element in the set's order; if ``bare``, the elements alone."""
     shared = docs.sparkSession.sparkContext.broadcast(last)  # FREQUENT_MOST hashes at most
 
     def work(part, s, first):
@@ -157,10 +157,12 @@ def inverted(docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataF
         order = np.lexsort((late, doc))  # stable: hashes stay ascending
         pos = np.arange(len(s)) - np.repeat(first[:-1], n)
         keep = pos < np.repeat(prefix_lengths(n, percent), n)
+        if bare:
+            return [pa.array(bk.signed(s[order][keep]))]
         key = class_keys(s, first)
         return [pa.array(bk.signed(s[order][keep])), pa.array(bk.signed(key[doc[keep]])), pa.array(n[doc[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))]
 
-    return _groups(docs, [("h", "long"), ("class", "long"), ("n", "int"), ("pos", "int")], work)
+    return _groups(docs, [("h", "long"), ("class", "long"), ("n", "int"), ("pos", "int")][: 1 if bare else 4], work)
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -213,22 +215,22 @@ def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, label: the least node reachable, by propagation with pointer jumping; ``links`` has a, b."""
-    spark = nodes.sparkSession
-    both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    touched = both.select(F.col("a").alias("node")).distinct()
-    labels = checkpointed(touched.withColumn("label", F.col("node")))
-    while True:
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("new"), "label")
-        jumped = hooked.join(hooked.select(F.col("node").alias("t"), F.col("new").alias("jump")), F.col("new") == F.col("t"), "left")
-        after = checkpointed(jumped.select("node", F.least("new", F.coalesce("jump", "new")).alias("label"), F.col("label").alias("old")))
-        moved = after.where("label <> old").limit(1).count()
-        labels = after.select("node", "label")
-        if not moved:
-            break
-    release(spark)
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    """node, label of every node: equal labels for linked nodes; ``links`` has a, b.
+
+    By contraction: every node goes to the least of itself and its neighbours, links between
+    what they went to are made distinct, and so on until none is left.  A star is gone after
+    a step or two; nodes are hashes, so a chain loses a good part of its links in each step
+    and the joins of all steps together are little more than the links."""
+    left = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    place = nodes.select("node", F.col("node").alias("label"))
+    while not left.isEmpty():
+        ends = left.select(F.col("a").alias("from"), F.col("a").alias("to")).union(left.select(F.col("b").alias("from"), F.col("a").alias("to")))
+        step = checkpointed(ends.groupBy("from").agg(F.min("to").alias("to")))
+        moved = left.join(step.withColumnsRenamed({"from": "a", "to": "x"}), "a").join(step.withColumnsRenamed({"from": "b", "to": "y"}), "b")
+        left = checkpointed(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        place = checkpointed(place.join(step, place["label"] == step["from"], "left").select("node", F.coalesce("to", "label").alias("label")))
+    release(nodes.sparkSession)
+    return place
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -254,11 +256,11 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     signed = checkpointed(signatures(docs))
     classes = signed.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("least"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     classes = checkpointed(classes)
-    lists = inverted(docs, frequent(signed), percent)
-    shared = lists.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    last = frequent(signed)
+    shared = inverted(docs, last, percent, bare=True).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
     shared = checkpointed(shared)
     release(spark)
-    hits = checkpointed(lists.join(shared, "h").groupBy("h", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
+    hits = checkpointed(inverted(docs, last, percent).join(shared, "h").groupBy("h", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     release(spark)
     texts = _packed(docs)
     answers = spark.range(0).select(*[F.col("id").alias(c) for c in ("a", "b", "common", "total")])
