@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from parlance.llm import bytekit as bk
 
 #: Bounds of the memory of encoded fragments in one Python worker.
-CACHE_FRAGMENTS, CACHED_FRAGMENT_BYTES = 400_000, 64
+CACHE_FRAGMENTS, CACHED_FRAGMENT_BYTES = 150_000, 64
 #: Fixed value: the pattern that a byte-level vocabulary of this family is pre-tokenised by.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
