@@ -1,12 +1,15 @@
 """License notices in texts: MinHash bands over windows, then exact containment.
 
 Templates and texts are lower-cased words without punctuation and their five-word
-shingles (a shorter template is one shingle).  Windows of a text overlap by half and come
-in sizes that double; a template is looked up among windows of at least its own size and
-less than four times it, so that some window holds any occurrence whole.  Every window has
-a MinHash signature of ``BANDS`` bands of ``ROWS`` rows; equal bands retrieve templates.  A window that holds three quarters of a template
-has Jaccard similarity of about 0.19 with it or more, so with ROWS = 1 and 64 bands it is
-retrieved with probability 1 - (1 - 0.19)**64 > 0.999998.  A retrieved template is verified
+shingles (a shorter template is one shingle).  A template of fewer than ``SMALLEST``
+shingles is looked up by its shingles themselves, which is exact: no window is as short as
+it is.  For the others, windows of a text overlap by three quarters and come in sizes that
+double; a template is looked up among windows of at least its own size and less than four
+times it, so that some window of at most 8/3 of its shingles holds any occurrence whole.
+Every window has a MinHash signature of ``BANDS`` bands of ``ROWS`` rows; equal bands
+retrieve templates.  A window that holds three quarters of a template has Jaccard similarity
+of 0.75 / (8/3 + 0.25) = 0.257 with it or more, so with ROWS = 1 and 64 bands it is
+retrieved with probability 1 - (1 - 0.257)**64 > 0.99999999.  A retrieved template is verified
 by exact containment: the greatest share of its distinct shingles inside any stretch of
 the text of its own length; 0.75 or more is a match.
 
@@ -140,14 +143,17 @@ class Index:
             known = np.flatnonzero(every[at] == s)
             if not len(known):
                 continue
-            wanted: set[int] = set()
+            # Few shingles: enough of them anywhere in the text.
+            held = np.unique(s[known])
+            few = {i for i, own in enumerate(self.sets) if len(own) < SMALLEST}
+            wanted = {i for i in few if self.words[i] == k and np.isin(self.sets[i], held).sum() >= CONTAINMENT * len(self.sets[i])}
             longest = max(n for n, w in zip(self.length, self.words, strict=True) if w == k)
             size = SMALLEST
             while size <= max(SMALLEST, 4 * longest):
-                step = size // 2
-                tried = [i for i, n in enumerate(self.length) if self.words[i] == k and i not in wanted and (n <= size < 4 * n or (size == SMALLEST and n < SMALLEST))]
+                step = size // 4
+                tried = [i for i, n in enumerate(self.length) if self.words[i] == k and i not in wanted and i not in few and n <= size < 4 * n]
                 if tried:
-                    for w in sorted({b for p in known.tolist() for b in (p // step, p // step - 1) if b >= 0}):
+                    for w in sorted({b for p in known.tolist() for b in range(max(0, p // step - 3), p // step + 1)}):
                         part = s[w * step : w * step + size]
                         wanted.update(i for key in signature(np.unique(part)).tolist() for i in self.bands.get(key, ()) if i in tried)
                 size *= 2

@@ -98,6 +98,18 @@ def test_licenses(docs, spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_license_notices_inside_long_texts():
+    """Short and long notices at the start, in the middle and at the end, whatever stands beside them."""
+    rng, index = np.random.default_rng(11), license_scan.Index(license_scan.TEMPLATES)
+    for turn, name in enumerate(["MIT"] * 150 + list(license_scan.TEMPLATES)):
+        near = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(2)]
+        notice = license_scan.TEMPLATES[name]
+        for text in (f"{notice} {near[0]}", f"{near[0]} {notice} {near[1]}", f"{near[0]} {notice}"):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            got = {n: round(share, 9) for n, share, _ in index.scan(license_scan.word_hashes(raw, np.array([0, len(raw)]))[0])}
+            assert got == {k: round(v, 9) for k, v in license_scan.brute_force(text, license_scan.TEMPLATES).items()}, (turn, name)
+
+
 def test_targets():
     got = mixing.targets([100, 10, 50], [3, 1, 2])
     assert got.sum() == pytest.approx(240) and (got <= np.array([200, 20, 100]) + 1e-9).all()
