@@ -41,6 +41,22 @@ def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
     return out.select("id", F.round(F.when(every, short * F.exp(log / most)).otherwise(0.0), 6).alias("bleu"))
 
 
+def lcs(x: list[str], y: list[str]) -> int:
+    """Length of the longest common subsequence, bit-parallel: a row of the table is one integer, a step a few operations on it."""
+    if len(x) > len(y):
+        x, y = y, x
+    at: dict[str, int] = {}
+    for i, w in enumerate(x):
+        at[w] = at.get(w, 0) | 1 << i
+    every = (1 << len(x)) - 1
+    row = every  # a zero bit is where the length grows by one
+    for w in y:
+        hit = row & at.get(w, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & every
+    return len(x) - row.bit_count()
+
+
 def rouge_l(pairs: DataFrame) -> DataFrame:
     """F1 of the longest common subsequence; each pair where it lies."""
     from collections.abc import Iterator
@@ -52,12 +68,8 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
             out = []
             for a, b in zip(part["reference"], part["candidate"], strict=True):
                 x, y = (a or "").lower().split(), (b or "").lower().split()
-                row = [0] * (len(y) + 1)
-                for w in x:
-                    last = 0
-                    for j, v in enumerate(y, 1):
-                        last, row[j] = row[j], last + 1 if w == v else max(row[j], row[j - 1])
-                p, r = row[-1] / max(1, len(y)), row[-1] / max(1, len(x))
+                common = lcs(x, y)
+                p, r = common / max(1, len(y)), common / max(1, len(x))
                 out.append(round(2 * p * r / (p + r), 6) if p + r else 0.0)
             yield pd.DataFrame({"id": part["id"], "rouge_l": out})
 

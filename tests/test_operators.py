@@ -1,11 +1,14 @@
 """Goldens derived by hand from the rules, and invariants."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.operators import centrality, citations, context, evaluate, ranking, segment, structure
 from parlance.plans import catalog
+from parlance.sources import tables as src
 
 
 def one(spark, column):
@@ -87,6 +90,33 @@ def test_rouge_of_equal_texts(spark):
     assert {r["id"]: r["rouge_l"] for r in evaluate.rouge_l(pairs).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
 
 
+def table_lcs(x, y):
+    row = [0] * (len(y) + 1)
+    for w in x:
+        last = 0
+        for j, v in enumerate(y, 1):
+            last, row[j] = row[j], last + 1 if w == v else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_lcs_equals_the_table():
+    rng = random.Random(3)
+    for _ in range(400):
+        x, y = ([rng.choice("abcdefghij"[: rng.randint(1, 10)]) for _ in range(rng.randint(0, 90))] for _ in range(2))
+        assert evaluate.lcs(x, y) == table_lcs(x, y)
+
+
+def test_rouge_l_of_every_pair(spark, small):
+    texts = {r["doc_id"]: (r["text"] or "") for r in src.table(spark, small, "documents").collect()}
+    got = {r["id"]: r["rouge_l"] for r in catalog.QUERIES["eval_rouge_l"](spark, small).collect()}
+    assert set(got) == {i for i in texts if i + 1 in texts}
+    most = sorted(got, key=lambda i: (len(texts[i]) + len(texts[i + 1]) < 4000, abs(len(texts[i]) + len(texts[i + 1]) - 8000)))[:8]
+    for i in most:
+        x, y = texts[i].lower().split(), texts[i + 1].lower().split()
+        common = table_lcs(x, y)
+        assert got[i] == (round(2 * common / (len(x) + len(y)), 6) if common else 0.0)
+
+
 def test_graph_invariants(spark, small):
     edges = catalog.edges_of(spark, small).cache()
     semantic = edges.where("relation <> 'follows'")
