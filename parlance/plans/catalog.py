@@ -537,8 +537,8 @@ def reasoning_extract(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS place FROM documents WHERE doc_id < 200")
 def natural_order(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", tx.natural_key(F.concat(F.lit("Case"), "doc_id", F.lit(".txt"))).alias("k"))
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy().orderBy("k")).alias("place"))
+    rows = src.table(spark, sf_dir, "documents").select("doc_id", tx.natural_key(F.concat(F.lit("Case"), "doc_id", F.lit(".txt"))).alias("k"))
+    return context.ordered_ranks(rows, "k").select("doc_id", F.col("rank").cast("int").alias("place"))
 
 
 CASES = [("SC_CA_12_2010", "SC/CA/12/2010"), ("SC_FR_4_2009", "SC FR 4 2009"), ("SC_7_2001", "SC Appeal No: 9/2011"), ("x", "none"), ("SC_CA_1_2000", "SC/3/1999")]

@@ -117,6 +117,20 @@ def test_rouge_l_of_every_pair(spark, small):
         assert got[i] == (round(2 * common / (len(x) + len(y)), 6) if common else 0.0)
 
 
+def test_natural_order_of_all_documents(spark):
+    mid = "/root/testdata/sf0.01"
+    ids = sorted(r["doc_id"] for r in src.table(spark, mid, "documents").select("doc_id").collect())
+    got = {r["doc_id"]: r["place"] for r in catalog.QUERIES["natural_order"](spark, mid).collect()}
+    assert len(ids) > 200 and got == {d: i for i, d in enumerate(ids, 1)}
+
+
+def test_ordered_ranks(spark):
+    keys = [f"k{i % 7}-{i}" for i in range(300)]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").repartition(5)
+    assert {r["k"]: r["rank"] for r in context.ordered_ranks(rows, "k").collect()} == {k: i for i, k in enumerate(sorted(keys), 1)}
+    assert context.ordered_ranks(rows.limit(0), "k").count() == 0
+
+
 def test_graph_invariants(spark, small):
     edges = catalog.edges_of(spark, small).cache()
     semantic = edges.where("relation <> 'follows'")
