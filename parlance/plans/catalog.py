@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from parlance.functions import text as tx
 from parlance.functions.vectors import cosine
 from parlance.operators import centrality, citations, context, evaluate, graph, ranking, segment, structure, summarize, translate
+from parlance.runtime import checkpointed
 from parlance.sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,14 +379,19 @@ def disposition_guarantee(spark, sf_dir):
 def hybrid_ranking(spark, sf_dir):
     """All signals: graph, roles, citations, embeddings, position; scores, ranks and an adaptive selection."""
     v = vectors_of(spark, sf_dir)
-    edges = edges_of(spark, sf_dir)
+    edges = checkpointed(edges_of(spark, sf_dir))
+    pairs = graph.simple_digraph(edges)
     nodes = v.drop("embedding")
-    pr = centrality.converged_pagerank(nodes, graph.simple_digraph(edges))
+    pr = centrality.converged_pagerank(nodes, pairs)
+    be = centrality.betweenness(nodes, pairs)
     su = centrality.support(nodes, edges).select("doc_id", "clause_id", "support_in")
     ci = citations.counts(nodes).select("doc_id", "clause_id", F.col("share").alias("citation"))
-    rows = nodes.join(pr, ["doc_id", "clause_id"]).join(su, ["doc_id", "clause_id"]).join(ci, ["doc_id", "clause_id"]).join(centroid_similarity(spark, sf_dir), ["doc_id", "clause_id"]).withColumn("name", src.case_id())
-    scored = ranking.ranked(ranking.hybrid_score(rows))
-    k = ranking.adaptive_k(F.col("n"), F.lit(0), ranking.case_type(F.col("name")), "hybrid")
+    rows = nodes
+    for signal in (pr, be, su, ci, centroid_similarity(spark, sf_dir)):
+        rows = rows.join(signal, ["doc_id", "clause_id"])
+    scored = ranking.ranked(ranking.hybrid_score(rows.withColumn("name", src.case_id())))
+    scored = scored.join(edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges")), "doc_id", "left")
+    k = ranking.adaptive_k(F.col("n"), F.coalesce("n_edges", F.lit(0)), ranking.case_type(F.col("name")), "hybrid")
     return scored.select("doc_id", "clause_id", "label", "score", "rank", k.alias("k")).where(F.col("rank") <= F.col("k"))
 
 
