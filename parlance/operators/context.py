@@ -79,12 +79,17 @@ def ordered_ranks(rows: DataFrame, key: str) -> DataFrame:
 
 def upsample(rows: DataFrame) -> DataFrame:
     """Every label repeated to the count of the largest: whole repeats, then the first rows by hash."""
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.withColumn("most", F.max("c").over(Window.partitionBy()))
     h = F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("clause_id").cast("string")))
-    joined = rows.withColumn("h", h).join(F.broadcast(most), "label").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h")))
+    hashed = rows.withColumn("h", h).withColumn("bucket", F.substring("h", 1, 3))
+    # Ranks inside the ranges of the hash's first digits, as in ``ranks``: 4096 rows a label at most.
+    starts = hashed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("b"))
+    by_label = Window.partitionBy("label")
+    starts = starts.select("label", "bucket", (F.sum("b").over(by_label.orderBy("bucket")) - F.col("b")).alias("start"), F.sum("b").over(by_label).alias("c"))
+    starts = starts.withColumn("most", F.max("c").over(Window.partitionBy()))
+    inside = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("h"))
+    joined = hashed.withColumn("r", inside).join(F.broadcast(starts), ["label", "bucket"]).withColumn("r", F.col("start") + F.col("r"))
     times = F.floor(F.col("most") / F.col("c")) + F.when(F.col("r") <= F.col("most") % F.col("c"), 1).otherwise(0)
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("h", "c", "most", "r")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("h", "bucket", "start", "c", "most", "r")
 
 
 def undone(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:

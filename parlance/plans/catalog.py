@@ -130,8 +130,7 @@ def doc_split_train_val_test(spark, sf_dir):
 r AS (SELECT s.*, c.c, c.m, row_number() OVER (PARTITION BY s.label ORDER BY md5(doc_id::VARCHAR || '-' || clause_id::VARCHAR)) AS r FROM s JOIN c USING (label))
 SELECT label, count(*) AS n, count(DISTINCT doc_id) AS documents, sum(clause_id)::BIGINT AS clause_sum FROM (SELECT *, unnest(range(CAST(m // c + CASE WHEN r <= m % c THEN 1 ELSE 0 END AS BIGINT))) FROM r) GROUP BY label""")
 def upsample_balance(spark, sf_dir):
-    rows = nodes_of(spark, sf_dir).where(((F.col("doc_id") + F.col("clause_id")) % 3 == 0) | (F.col("label") == "Claim"))
-    return context.upsample(rows).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.sum("clause_id").alias("clause_sum"))
+    return context.upsample(nodes_of(spark, sf_dir)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.sum("clause_id").alias("clause_sum"))
 
 
 @query(f"WITH {CLAUSES}, c AS (SELECT label, count(*) AS n FROM clauses GROUP BY label) SELECT label, n, round(sum(n) OVER () / (4 * n), 6) AS weight FROM c")

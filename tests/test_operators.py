@@ -1,5 +1,6 @@
 """Goldens derived by hand from the rules, and invariants."""
 
+import hashlib
 import math
 import random
 import re
@@ -213,6 +214,18 @@ def test_hybrid_ranking_equals_brute_force(spark, small):
     assert seen > 100
 
 
+def test_upsample_balance_of_all_labelled_clauses(spark, small):
+    groups = {}
+    for r in catalog.nodes_of(spark, small).collect():
+        groups.setdefault(r["label"], []).append((hashlib.md5(f"{r['doc_id']}-{r['clause_id']}".encode()).hexdigest(), r["doc_id"], r["clause_id"]))
+    most, want = max(map(len, groups.values())), {}
+    for label, rows in groups.items():
+        times, more = divmod(most, len(rows))
+        every = sorted(rows) * times + sorted(rows)[:more]
+        want[label] = (most, len({d for _, d, _ in every}), sum(c for _, _, c in every))
+    assert {r["label"]: tuple(r)[1:] for r in catalog.QUERIES["upsample_balance"](spark, small).collect()} == want
+
+
 def test_incremental_ingest(spark, tmp_path):
     from parlance.streaming.incremental import ingest
 
