@@ -330,7 +330,7 @@ def citation_lookup(spark, sf_dir):
 SELECT source_id, target_doc, target_clause, s AS similarity FROM j WHERE s > 0.15 - 0.01 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY s DESC, target_clause) = 1""")
 def nearest_target_clause(spark, sf_dir):
     v = vectors_of(spark, sf_dir)
-    s = v.where("clause_id = 1").select((F.col("doc_id") * 1000 + F.col("clause_id")).alias("source_id"), (F.col("doc_id") + 1).alias("target_doc"), "embedding")
+    s = v.select((F.col("doc_id") * 1000 + F.col("clause_id")).alias("source_id"), (F.col("doc_id") + 1).alias("target_doc"), "embedding")
     return citations.nearest_clause(s, v, 0.15)
 
 

@@ -226,6 +226,15 @@ def test_upsample_balance_of_all_labelled_clauses(spark, small):
     assert {r["label"]: tuple(r)[1:] for r in catalog.QUERIES["upsample_balance"](spark, small).collect()} == want
 
 
+def test_nearest_target_of_every_labelled_clause(spark, small):
+    rows = by_doc(catalog.vectors_of(spark, small).collect())
+    got = {(r["source_id"], r["target_doc"]): r["similarity"] for r in catalog.QUERIES["nearest_target_clause"](spark, small).collect()}
+    unit = {d: np.array([r["embedding"] / np.linalg.norm(r["embedding"]) for r in rs]) for d, rs in rows.items()}
+    best = {(d * 1000 + r["clause_id"], d + 1): x for d, rs in rows.items() if d + 1 in rows for r, x in zip(rs, (unit[d] @ unit[d + 1].T).max(1), strict=True)}
+    assert set(got) <= set(best) and {k for k, x in best.items() if x > 0.14 + 2e-6} <= set(got)
+    assert all(x == pytest.approx(best[k], abs=2e-6) and x > 0.14 for k, x in got.items())
+
+
 def test_incremental_ingest(spark, tmp_path):
     from parlance.streaming.incremental import ingest
 
