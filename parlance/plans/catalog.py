@@ -522,8 +522,7 @@ def marked_body(spark, sf_dir):
 
 @query(r"WITH d AS (SELECT doc_id, 'ab-' || chr(10) || 'cd' || chr(10) || 'ef. ' || chr(10) || chr(10) || chr(10) || 'X' || chr(10) || 'Y' || doc_id AS t FROM documents) SELECT doc_id, 'abcd ef. ' || chr(10) || chr(10) || 'X Y' || doc_id AS text FROM d")
 def paragraph_cleaning(spark, sf_dir):
-    t = F.concat(F.lit("ab-\ncd\nef. \n\n\nX\nY"), F.col("doc_id").cast("string"))
-    return src.table(spark, sf_dir, "documents").select("doc_id", tx.clean_paragraphs(t).alias("text"))
+    return src.table(spark, sf_dir, "documents").select("doc_id", tx.clean_paragraphs(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Key points stay' || doc_id WHEN doc_id % 3 = 1 THEN 'one' || chr(10) || 'two' END AS summary FROM documents")

@@ -235,6 +235,18 @@ def test_nearest_target_of_every_labelled_clause(spark, small):
     assert all(x == pytest.approx(best[k], abs=2e-6) and x > 0.14 for k, x in got.items())
 
 
+def test_paragraph_cleaning_of_every_text(spark, small):
+    def cleaned(x):
+        for pattern, to in (("-\n", ""), ("([a-z])\n([a-z])", r"\1 \2"), (",\n([a-z])", r", \1"), ("([^.!?])\n([a-z])", r"\1 \2"), (r"(?<!\n)\n(?!\n)", " "), (" {2,}", " "), (r"\n{2,}", "\n\n")):
+            x = re.sub(pattern, to, x)
+        return x.strip(" \t\n\x0b\f\r")
+
+    texts = {r["doc_id"]: r["text"] for r in src.table(spark, small, "documents").collect()}
+    got = {r["doc_id"]: r["text"] for r in catalog.QUERIES["paragraph_cleaning"](spark, small).collect()}
+    assert got == {d: None if x is None else cleaned(x) for d, x in texts.items()}
+    assert sum("\n" in (x or "") for x in texts.values()) > 100
+
+
 def test_incremental_ingest(spark, tmp_path):
     from parlance.streaming.incremental import ingest
 
