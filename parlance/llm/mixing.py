@@ -8,7 +8,8 @@ the last document only the words still missing.  The numbers of drawn blocks of
 sources are split exactly among the output shards: each node of a binary tree over the
 shards gives its left half a multivariate hypergeometric draw of the node's blocks, so
 every shard gets its share of blocks, and each source is spread as by dealing shuffled
-blocks.  Blocks then go to shards in permuted order, and rows are shuffled locally by hash.
+blocks.  ``mix`` reports the shards of every row's draws; ``mixed`` ignores them, it neither
+deals its rows to shards nor shuffles them.
 
 Everything is a function of the rows and the seed, so reruns agree.  The driver handles
 one row for each source (``MAX_SOURCES`` at most); prefix sums run inside blocks of about
