@@ -21,13 +21,22 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration with a reliable checkpoint in the shared folder of the session.
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sets where checkpoints go: the session's ``spark.checkpoint.dir``, which all executors share.
+
+    Only a local master may go without that setting (tests): it gets a folder of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not (sc.master or "").split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: iterations need a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parlance-checkpoint-"))
 
-    Only where ``spark.checkpoint.dir`` is unset (tests) is a folder of our own used."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-checkpoint-"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of an iteration with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
