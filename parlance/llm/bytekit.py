@@ -9,7 +9,10 @@ working memory does not depend on the size of an Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,14 +141,67 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+#: Arrow batches of text: rows and bytes at most.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """The frame, with Arrow batches limited by bytes as well as rows (long texts)."""
+    """The frame, with Arrow batches limited by bytes as well as rows (long texts).
+
+    Spark has these limits by session only, so a session with higher ones is lowered to ours; lower
+    ones of the user's stay."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = conf.get(key, None)
+        if have is None or not have.isdigit() or not 0 < int(have) <= most:
+            conf.set(key, str(most))
     return df
 
 
+#: What a worker remembers between batches; emptied at the end of every task.
+_memories: list[Callable[[], None]] = [_powers.clear]
+
+
+def at_task_end(forget: Callable[[], None]) -> None:
+    if forget not in _memories:
+        _memories.append(forget)
+
+
+@functools.cache
+def _libc():
+    """The C library with large arrays always mapped, so that they go back to the system when freed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        return libc
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def sweep() -> None:
+    """Gives a Python worker's memory back: Spark keeps idle workers beside the next task's."""
+    for forget in _memories:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers hold no more between tasks than they need to start the next."""
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _libc()
+        try:
+            yield from run(batches)
+        finally:
+            sweep()
+
+    return df.mapInArrow(swept, schema)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,20 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from parlance.runtime import checkpointed
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests)
-    is one of our own used."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-checkpoint-"))
-    return df.checkpoint()
+__all__ = ["checkpointed", "partitions", "release"]
 
 
 def partitions(spark: SparkSession) -> int:

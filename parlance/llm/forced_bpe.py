@@ -1,11 +1,12 @@
 """Byte-pair encoding with forced-boundary splitting.
 
 A pair of bytes that occurs inside no token of the vocabulary can never be joined by a
-merge, so the text may be cut between them.  Cuts are made at such pairs where the
-pre-tokeniser cuts as well (a space or line feed after a character that is not white
-space).  The fragments are then encoded independently, each distinct one once in a
-worker's bounded memory, and the ids are concatenated.  Only whole fragments are cut, so
-a text is never truncated.
+merge, so the text is cut between them, inside words as well as between them.  Two kinds of
+such pairs are left alone, because there the pre-tokeniser would read the rest of the text
+differently: those after white space (a run of it is read up to what follows) and those
+before an apostrophe (it may begin a contraction).  The fragments are then encoded
+independently, each distinct one once in a worker's bounded memory, and the ids are
+concatenated.  Only whole fragments are cut, so a text is never truncated.
 
 Defined cases: a null or empty text has no tokens (the hash of an empty string); the
 special token's own string in a text is that token, as in the library; a text without any
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,28 +49,35 @@ def token_bytes(path: str) -> tuple[dict[int, bytes], set[int]]:
     return out | added, set(added)
 
 
-def certain_cuts(tokens: dict[int, bytes], added: set[int]) -> np.ndarray:
-    """For each pair of bytes: whether it occurs inside no token."""
+def certain_cuts(tokens: dict[int, bytes]) -> np.ndarray:
+    """For each pair of bytes: whether it occurs inside no token, added tokens included, and may be cut."""
     never = np.ones((256, 256), bool)
-    for i, t in tokens.items():
-        if i not in added and len(t) > 1:
+    for t in tokens.values():
+        if len(t) > 1:
             b = np.frombuffer(t, np.uint8)
             never[b[:-1], b[1:]] = False
+    never[:, 0x80:0xC0] = False  # inside a character
+    never[bk.SPACE, :] = False
+    never[:, 0x27] = False
     return never
 
 
 def cut_positions(buf: np.ndarray, never: np.ndarray) -> np.ndarray:
-    """Where ``buf`` may be cut: before a space or line feed that follows no white space, at a pair inside no token."""
+    """Where ``buf`` is cut: at the pairs of ``never``, but not after white space beyond ASCII."""
     if len(buf) < 2:
         return np.zeros(0, np.int64)
-    at = np.flatnonzero((buf[1:] == 0x20) | (buf[1:] == 0x0A)) + 1
-    last = buf[at - 1]
-    at = at[never[last, buf[at]] & ~bk.SPACE[last]]
-    # White space beyond ASCII: U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
-    one, two, three = buf[at - 1], buf[np.maximum(at - 2, 0)], buf[np.maximum(at - 3, 0)]
+    at = np.flatnonzero(never.reshape(-1)[buf[:-1].astype(np.uint16) << 8 | buf[1:]]) + 1
+    # U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
+    last = at[buf[at - 1] >= 0x80]
+    one, two, three = buf[last - 1], buf[np.maximum(last - 2, 0)], buf[np.maximum(last - 3, 0)]
     general = (three == 0xE2) & (two == 0x80) & (((one >= 0x80) & (one <= 0x8A)) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
     other = ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three == 0xE1) & (two == 0x9A) & (one == 0x80)) | ((three == 0xE2) & (two == 0x81) & (one == 0x9F)) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
-    return at[~(general | other)]
+    return np.setdiff1d(at, last[general | other], assume_unique=True) if (general | other).any() else at
+
+
+def _parts(fragments: list[bytes], size: int = 1000) -> Iterator[list[bytes]]:
+    for i in range(0, len(fragments), size):
+        yield fragments[i : i + size]
 
 
 class Encoder:
@@ -80,12 +89,14 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokens, added = token_bytes(path)
-        self.never = certain_cuts(self.tokens, added)
+        self.never = certain_cuts(self.tokens)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -98,6 +109,7 @@ class Encoder:
         self.rank_bytes = np.zeros(size, np.int64)
         for t, r in ranks.items():
             self.rank_id[r], self.rank_bytes[r] = known[t], len(t)
+        self.rank_ids = self.rank_id.tolist()
         self.names = [str(i) for i in range(max(self.tokens) + 1)]
         self.text_ids: dict[bytes, str] = {}
         #: Fragments whose tokens do not give their bytes back (none, for a byte-level vocabulary).
@@ -123,18 +135,22 @@ class Encoder:
             missing = wanted
         runs, alone = [], []
         for p in missing:
-            # A run needs certain cuts between its fragments.
-            plain = p[:1] in (b" ", b"\n") and max(p) < 0xCE and p[-1] > 0x20 and p[-1] not in (0x85, 0xA0) and b"<|" not in p
-            (runs if plain else alone).append(p)
-        if runs:
-            got = np.array(self.merger.encode_ordinary(b"".join(runs).decode()), np.int64)
-            ends = np.searchsorted(np.cumsum(self.rank_bytes[got]), np.cumsum([len(p) for p in runs])) + 1
+            if max(p) >= 0xCE or b"<|" in p:
+                alone.append(p)
+            elif p[0] in (0x20, 0x0A) and p[-1] > 0x20 and p[-1] not in (0x85, 0xA0):
+                runs.append(p)  # certain cuts between the fragments of a run
+            else:
+                self.remember(p, [self.rank_ids[r] for r in self.merger.encode_ordinary(p.decode())])
+        for part in _parts(runs):
+            got = np.array(self.merger.encode_ordinary(b"".join(part).decode()), np.int64)
+            ends = np.searchsorted(np.cumsum(self.rank_bytes[got]), np.cumsum([len(p) for p in part])) + 1
             ids, start = self.rank_id[got].tolist(), 0
-            for p, end in zip(runs, ends.tolist(), strict=True):
+            for p, end in zip(part, ends.tolist(), strict=True):
                 self.remember(p, ids[start:end])
                 start = end
-        for p, e in zip(alone, self.tokenizer.encode_batch([p.decode() for p in alone], add_special_tokens=False), strict=True):
-            self.remember(p, e.ids)
+        for part in _parts(alone):
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
+                self.remember(p, e.ids)
 
     def remember(self, piece: bytes, ids: list[int]) -> None:
         self.text_ids[piece] = ",".join([self.names[i] for i in ids])
@@ -170,6 +186,14 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    for e in _encoders.values():
+        e.text_ids, e.odd = {}, {}
+
+
+bk.at_task_end(_forget)
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -188,7 +212,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = [list(map(int, x.split(","))) if x else [] for x in e.encode_group(buf, offs)[0]]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return bk.map_arrow(docs, run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -202,7 +226,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [e.decode(x.as_py() or []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.mapInArrow(run, f"doc_id {kind}, text string")
+    return bk.map_arrow(encoded, run, f"doc_id {kind}, text string")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -219,4 +243,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
                 n, ids, back = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bk.map_arrow(docs, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -185,7 +185,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 at, name, share, place = zip(*rows, strict=True) if rows else ((),) * 4
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(name, pa.string()), pa.array(share, pa.float64()), pa.array(place, pa.int64())], ["doc_id", "license", "containment", "first_word"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, license string, containment double, first_word long")
+    return bk.map_arrow(docs, run, f"doc_id {kind}, license string, containment double, first_word long")
 
 
 def brute_force(text: str, templates: dict[str, str], words: int = WORDS) -> dict[str, float]:

@@ -260,7 +260,7 @@ def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 media = [mux(padded(buf[a:b])).tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs)), pa.array(media, pa.binary())], [id_column, "n_bytes", "media"])
 
-    return docs.mapInArrow(run, f"{id_column} {kind}, n_bytes long, media binary")
+    return bk.map_arrow(docs, run, f"{id_column} {kind}, n_bytes long, media binary")
 
 
 def access_points(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -277,7 +277,7 @@ def access_points(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
                     [id_column, "pid", "unit", "pts", "dts", "random_access", "broken", "data"],
                 )
 
-    return stored.mapInArrow(run, f"{id_column} {kind}, pid int, unit int, pts long, dts long, random_access boolean, broken boolean, data binary")
+    return bk.map_arrow(stored, run, f"{id_column} {kind}, pid int, unit int, pts long, dts long, random_access boolean, broken boolean, data binary")
 
 
 def read_back(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -298,4 +298,4 @@ def read_back(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return stored.mapInArrow(run, f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return bk.map_arrow(stored, run, f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -8,12 +8,13 @@ the last document only the words still missing.  The numbers of drawn blocks of
 sources are split exactly among the output shards: each node of a binary tree over the
 shards gives its left half a multivariate hypergeometric draw of the node's blocks, so
 every shard gets its share of blocks, and each source is spread as by dealing shuffled
-blocks.  ``mix`` reports the shards of every row's draws; ``mixed`` ignores them, it neither
-deals its rows to shards nor shuffles them.
+blocks.  ``mix`` reports the shards of every row's draws; ``mixed`` lays its rows out shard
+after shard, those of a shard shuffled by a hash of the draw.
 
 Everything is a function of the rows and the seed, so reruns agree.  The driver handles
 one row for each source (``MAX_SOURCES`` at most); prefix sums run inside blocks of about
-``BLOCK_ROWS`` documents and over a source's blocks, never over a source's documents.
+``BLOCK_ROWS`` documents (more where a source would have over ``MAX_BLOCKS`` blocks) and over
+a source's blocks, never over a source's documents.
 
 Defined cases: null or empty text: size 0, nothing taken; null source: the last source;
 sources without words have target 0; repeated rows are each taken alike; an empty table
@@ -32,7 +33,7 @@ from parlance.llm.cluster import checkpointed
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-BLOCK_ROWS, MAX_SOURCES, SHARDS, SEED = 1000, 100_000, 16, 20240229
+BLOCK_ROWS, MAX_BLOCKS, MAX_SOURCES, SHARDS, SEED = 1000, 100_000, 100_000, 16, 20240229
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,7 +83,7 @@ def _sources(base: DataFrame, weights: tuple, share: float, most: float) -> list
     rows = sorted((r.asDict() for r in rows), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     got = targets(np.array([r["source_size"] for r in rows]), np.array([weights[i % len(weights)] for i in range(len(rows))]), share, most) if rows else []
     for r, t in zip(rows, got, strict=True):
-        r["target"], r["blocks"] = float(t), -(-r["n"] // BLOCK_ROWS)
+        r["target"], r["blocks"] = float(t), min(MAX_BLOCKS, -(-r["n"] // BLOCK_ROWS))
         words = min(round(t), int(most * r["source_size"]))
         r["passes"], r["extra"] = divmod(words, r["source_size"]) if r["source_size"] else (0, 0)
     return rows
@@ -129,17 +130,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a row for each whole pass, and one for an extra draw.
 
-    An extra draw that takes a part of a document has its first words, joined by spaces, and
-    ``n_chars`` counted anew.  Repeated rows (same id and text) are taken alike."""
-    plan = mix(docs, **options).groupBy("doc_id", "row_key").agg(F.max("passes").alias("passes"), F.max("extra_taken").alias("extra"), F.max("size").alias("size")).where("passes > 0 or extra > 0")
+    They lie in the order of the shards that the splitting tree gave their draws, shuffled inside a
+    shard by a seeded hash.  An extra draw that takes a part of a document has its first words,
+    joined by spaces, and ``n_chars`` counted anew.  Repeated rows (same id and text) are taken alike."""
+    seed = options.get("seed", SEED)
+    plan = mix(docs, **options).groupBy("doc_id", "row_key").agg(*[F.max(c).alias(name) for c, name in (("passes", "passes"), ("extra_taken", "extra"), ("size", "size"), ("pass_shards", "pass_shards"), ("extra_shard", "extra_shard"))]).where("passes > 0 or extra > 0")
     plan = checkpointed(plan).withColumnsRenamed({"doc_id": "k_id", "row_key": "k_key"})
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("r_id"), row_key().alias("r_key"))
     rows = rows.join(plan, rows["r_id"].eqNullSafe(plan["k_id"]) & (rows["r_key"] == plan["k_key"]))
     # Draw 0 is the extra one.
     draws = F.when(F.col("extra") > 0, F.sequence(F.lit(0), F.col("passes"))).otherwise(F.sequence(F.lit(1), F.col("passes")))
     rows = rows.withColumn("draw", F.explode(draws))
+    rows = rows.withColumns({"shard": F.when(F.col("draw") == 0, F.col("extra_shard")).otherwise(F.element_at("pass_shards", F.greatest(F.lit(1), F.col("draw")))), "place": F.xxhash64(F.lit(seed + 3), "r_id", "r_key", "draw")})
     part = (F.col("draw") == 0) & (F.col("extra") < F.col("size"))
     text = F.when(part, F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " ")).otherwise(F.col("row.text"))
-    rows = rows.withColumn("taken_text", text)
+    rows = rows.withColumn("taken_text", text).repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
     columns = [F.col("taken_text").alias(c) if c == "text" else F.when(part, F.length("taken_text")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return rows.select(*columns)

@@ -113,7 +113,7 @@ def phrases(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, reach: int
                         ["doc_id", "row_key", "start", "n", "core", "phrase"],
                     )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, start int, n int, core long, phrase long")
+    return bk.map_arrow(docs, run, f"doc_id {kind}, row_key long, start int, n int, core long, phrase long")
 
 
 #: Strings in a sub-run, the second level of comparison.
@@ -145,7 +145,7 @@ def _texts_with(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
                 packed = [z.compress(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary()), *part.columns[3:]], ["doc_id", "row_key", "packed", *(["carried"] if extra else [])])
 
-    packed = docs.mapInArrow(pack, ", ".join([f"doc_id {_of_docs(docs)}, row_key long, packed binary", *extra]))
+    packed = bk.map_arrow(docs, pack, ", ".join([f"doc_id {_of_docs(docs)}, row_key long, packed binary", *extra]))
     marks = marks.withColumnsRenamed({"doc_id": "m_id", "row_key": "m_key"})
     return packed.join(marks, packed["doc_id"].eqNullSafe(marks["m_id"]) & (packed["row_key"] == marks["m_key"]), how).drop("m_id", "m_key")
 
@@ -173,7 +173,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     ["doc_id", "row_key", "start", "own", "bytes"],
                 )
 
-    return _texts_with(docs, lists, "inner").mapInArrow(run, f"doc_id {kind}, row_key long, start int, own boolean, bytes binary")
+    return bk.map_arrow(_texts_with(docs, lists, "inner"), run, f"doc_id {kind}, row_key long, start int, own boolean, bytes binary")
 
 
 def _sub_runs(cut: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
@@ -205,7 +205,7 @@ def _sub_runs(cut: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
                     ["doc_id", "row_key", "start", "own", "at", "n", "core", "phrase"],
                 )
 
-    return cut.mapInArrow(run, f"doc_id {kind}, row_key long, start int, own boolean, at int, n int, core long, phrase long")
+    return bk.map_arrow(cut, run, f"doc_id {kind}, row_key long, start int, own boolean, at int, n int, core long, phrase long")
 
 
 def _strings(cut: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _strings(cut: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
                     ["doc_id", "row_key", "start", "own", "h1", "h2"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, row_key long, start int, own boolean, h1 long, h2 long")
+    return bk.map_arrow(rows, run, f"doc_id {kind}, row_key long, start int, own boolean, h1 long, h2 long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, reach: int = REACH) -> DataFrame:
@@ -282,24 +282,26 @@ def _kept(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes
 def remove(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
     """doc_id, row_key, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every document.
 
-    With ``carry``, the other columns of ``docs`` come along as the struct ``carried``."""
+    With ``carry``, the other columns of ``docs`` come along as the struct ``carried``, and ``kept`` is
+    the string ``text``, without the bytes of characters that were cut."""
     others = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("carried")] if carry else []
     whole = docs.select("doc_id", bk.row_key(), F.col("text").cast("string").alias("text"), *others)
     docs = whole.select("doc_id", "row_key", "text")
     found = repeats(docs, length).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # a document's own runs
     kind = _of_docs(docs)
+    names = ["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", *(["text", "carried"] if carry else ["kept"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for raw, runs_ in zip(_unpack(batch.column(2)), batch.column(3 + carry), strict=True):
                 kept, spans = _kept(raw, [(r["start"], r["n"]) for r in runs_.as_py() or ()], length)
-                rows.append((len(raw), len(raw) - len(kept), spans, kept))
+                rows.append((len(raw), len(raw) - len(kept), spans, kept.decode("utf-8", "ignore") if carry else kept))
             size, removed, spans, kept = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), *([batch.column(3)] if carry else [])], ["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept", *(["carried"] if carry else [])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if carry else pa.binary()), *([batch.column(3)] if carry else [])], names)
 
-    more = f", carried {whole.schema['carried'].dataType.simpleString()}" if carry else ""
-    return _texts_with(whole, found, "left").mapInArrow(run, f"doc_id {kind}, row_key long, n_bytes long, n_removed long, n_spans long, kept binary{more}")
+    more = f"text string, carried {whole.schema['carried'].dataType.simpleString()}" if carry else "kept binary"
+    return bk.map_arrow(_texts_with(whole, found, "left"), run, f"doc_id {kind}, row_key long, n_bytes long, n_removed long, n_spans long, {more}")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -307,12 +309,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Bytes of a character that was cut go with it; a null text becomes empty."""
     rows = remove(docs, length, carry=True)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())], ["carried", "text"])
-
-    rows = rows.select("carried", "kept").mapInArrow(clean, f"carried {rows.schema['carried'].dataType.simpleString()}, text string")
     columns = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("carried").getField(c).alias(c) for c in docs.columns]
     return rows.select(*columns)
 

@@ -6,7 +6,8 @@ with lasso weights over the rules keeps few of them, and those are compiled into
 column expression, so scoring adds no Python after the measurements.
 
 The fit uses at most ``SAMPLE_ROWS`` labelled rows, the first by a hash of the document id
-(a documented bound; scoring covers every document).  Labels, language, source and the
+(a documented bound; scoring covers every document); each tree is grown on a bootstrap sample
+of ``TREE_ROWS`` of those rows at most, the weights are fitted on all of them.  Labels, language, source and the
 document id are never inputs of a score.
 
 Defined cases: a null or empty text has all statistics 0 and gets a score like any other;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.rule_ledger import measure
 
-SAMPLE_ROWS, TREES, DEPTH, CUTS, LEAST_LEAF, PENALTY, STEPS, SEED = 20_000, 24, 3, 24, 8, 0.001, 600, 20240229
+SAMPLE_ROWS, TREE_ROWS, TREES, DEPTH, CUTS, LEAST_LEAF, PENALTY, STEPS, SEED = 20_000, 2000, 24, 3, 24, 8, 0.001, 600, 20240229
 THRESHOLD = 0.3
 
 
@@ -115,7 +116,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
     rng = np.random.default_rng(SEED)
     found: set[Rule] = set()
     for _ in range(TREES):
-        rows = rng.integers(0, len(y), min(len(y), 2000))
+        rows = rng.integers(0, len(y), min(len(y), TREE_ROWS))
         _grow(x[rows], y[rows], names, rng, (), DEPTH, found)
     rules = sorted(found)
     z = np.ones((len(y), len(rules)))

@@ -52,10 +52,10 @@ def measure_group(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     cuts = np.flatnonzero(buf == 0x0A)
     line_start = np.union1d(offs[:-1], cuts + 1)
     line_start = line_start[line_start < len(buf)]
-    line_end = np.append(line_start[1:], len(buf))
+    line_end = np.append(line_start[1:], len(buf))[: len(line_start)]
     line_end = np.where(np.isin(line_end, offs), line_end, line_end - 1) if len(line_end) else line_end
     # A line that ends at a document edge may still end in \n itself.
-    ends_in_cut = (line_end > line_start) & (buf[np.maximum(line_end - 1, 0)] == 0x0A) if len(line_end) else np.zeros(0, bool)
+    ends_in_cut = (line_end > line_start) & (buf[np.maximum(line_end - 1, 0)] == 0x0A) if len(buf) else np.zeros(0, bool)
     line_end = line_end - ends_in_cut
     has_word = np.searchsorted(start, line_end, "left") > np.searchsorted(start, line_start, "left")
     line_start, line_end = line_start[has_word], line_end[has_word]
@@ -90,7 +90,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
     docs = bk.bounded_batches(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    return bk.map_arrow(docs, run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def passing(docs: DataFrame, policy: str | None = None) -> DataFrame:
@@ -103,7 +103,7 @@ def passing(docs: DataFrame, policy: str | None = None) -> DataFrame:
                 got = measure_group(buf, offs)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[m].astype(np.int64)) for m in MEASURES)], ["row", *MEASURES])
 
-    rows = kept.mapInArrow(run, f"row {kept.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES))
+    rows = bk.map_arrow(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES))
     return apply_policy(with_bits(rows), policy or CURRENT).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

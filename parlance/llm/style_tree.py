@@ -184,7 +184,7 @@ def style_rows(pages: DataFrame) -> DataFrame:
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), *(pa.array(x, pa.int64()) for x in (path, content, whole))], ["page_id", "row_key", "host", "path", "content", "whole"])
 
-    return bk.bounded_batches(pages).mapInArrow(run, f"page_id {kind}, row_key long, host string, path long, content long, whole long")
+    return bk.map_arrow(bk.bounded_batches(pages), run, f"page_id {kind}, row_key long, host string, path long, content long, whole long")
 
 
 def importance(rows: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def extract(pages: DataFrame) -> DataFrame:
             packed = pa.array([z.compress(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), packed], ["page_id", "row_key", "url", "packed"])
 
-    packed = bk.bounded_batches(pages.select("page_id", "row_key", "url", "html")).mapInArrow(pack, f"page_id {kind}, row_key long, url {url}, packed binary")
+    packed = bk.map_arrow(bk.bounded_batches(pages.select("page_id", "row_key", "url", "html")), pack, f"page_id {kind}, row_key long, url {url}, packed binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -222,4 +222,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     both = packed.join(marks, packed["page_id"].eqNullSafe(marks["m_id"]) & (packed["row_key"] == marks["m_key"]), "left").select("page_id", "url", "packed", "low")
-    return both.mapInArrow(run, f"page_id {kind}, url {url}, text string, n_chars long")
+    return bk.map_arrow(both, run, f"page_id {kind}, url {url}, text string, n_chars long")

@@ -224,3 +224,47 @@ def test_repeated_rows(docs):
     n = twice.count()
     assert pfp_dedup.digest(twice).count() == n and ngram_join.join(twice).count() == n and mixing.mix(twice).count() == n and kd_shard.shard(twice).count() == n
     assert pfp_dedup.digest(twice).where("n_bytes >= 400 and n_removed < n_bytes").isEmpty()
+
+
+def test_groups_of_nothing_but_empty_texts(spark):
+    """Null ids, and partitions that hold only null or empty texts."""
+    rows = spark.createDataFrame([(None, None, None, None), (1, "", "s", "en"), (2, " \n", None, "en"), (None, "", "s", None), (3, "a b c d e f g", "s", "en")], "doc_id long, text string, source string, lang string").repartitionByRange(5, "text")
+    assert sorted(r["n_words"] for r in rule_ledger.ledger(rows).collect()) == [0, 0, 0, 0, 7]
+    assert rule_ledger.passing(rows).count() == 0
+    assert rule_ensemble.score(rows, rule_ensemble.Model(0.0, (), ())).where("score = 0.5").count() == 5
+    assert media_ts.read_back(media_ts.store(rows)).where("payload_bytes = 64").count() == 5
+    assert kd_shard.shard(rows).count() == 5 and mixing.mix(rows).count() == 5
+    assert pfp_dedup.digest(rows).where("n_removed = 0").count() == 5
+    assert forced_bpe.digest(rows, queries.byte_vocabulary()).count() == 5
+    assert license_scan.scan(rows).count() == 0
+    joined_rows = ngram_join.join(rows).collect()
+    assert sorted(r["n_shingles"] for r in joined_rows) == [0, 0, 0, 0, 3]
+    assert ngram_join.one_of_each(rows).count() == 4  # null and empty text are the same text
+
+
+def test_near_copies_around_a_centre(spark):
+    """Copies of one text with edits of their own: linked to the centre, not to each other; and one too far from all."""
+    words = [f"c{i}" for i in range(150)]
+    texts = [" ".join(words)]
+    for k in range(120):
+        w = list(words)
+        for j in range(1 + k % 7):
+            w[(k * 13 + j * 21) % 150] = f"e{k}x{j}"
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(ngram_join.join(rows))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == joined(texts)
+
+
+def test_blocks_of_a_long_list_lose_no_partner(spark):
+    """Every pair that the filter of sizes and positions lets through meets in some block."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 400, 160)
+    place = [int(rng.integers(0, max(1, ngram_join.prefix_lengths(np.array([n]))[0]))) for n in size]
+    rest = spark.createDataFrame([(1, 160, i, (i, int(n), p)) for i, (n, p) in enumerate(zip(size, place, strict=True))], "h long, size long, label long, m struct<class:long,n:int,pos:int>")
+    x, y = rest.select(F.col("m").alias("x")), rest.select(F.col("m").alias("y"))
+    want = x.crossJoin(y).where(F.col("x.class") < F.col("y.class")).where(ngram_join._possible("x", "y", 75)).select("x.class", "y.class")
+    got = ngram_join._across(rest, 75)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and want.count() > 500

@@ -5,7 +5,7 @@ import importlib.util
 from pathlib import Path
 from parlance.llm import pfp_dedup
 
-_spec = importlib.util.spec_from_file_location("llm_brute", Path(__file__).parent / "test_operators.py")
+_spec = importlib.util.spec_from_file_location("llm_brute", Path(__file__).parent / "test_llm_operators.py")
 brute = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(brute)
 
