@@ -72,7 +72,7 @@ def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     buf = _NORMAL[buf]
     start, end, first = bk.words(buf, offs)
-    return bk.range_hashes(buf, start, end), first
+    return bk.word_hashes(buf, start, end), first
 
 
 _rng = np.random.default_rng(20240301)

@@ -6,17 +6,20 @@ similarity 0.75 share an element among the first ``n - ceil(0.75 n) + 1`` of eac
 those go to inverted lists.  Any set of frequent shingles gives right results; it is
 gathered from shingles that recur inside one batch of documents and is bounded.
 
-Index-level skipping: lists hold each element's position, so a partner is skipped when the
-elements before the common one alone differ too much, or the sizes do.  Equal sets are one
-entry (*class*) of the join.
-
-Answer-level skipping: a list's members are first compared with two leaders only.  A
-member's answer follows from its leader's where that suffices: linked members are in one
-component and need no pair of their own, and a pair is skipped when the exact distances to
-a common leader prove it too far (Jaccard distance is a metric).  Leaders leave few
-lists with several components; only pairs across components of those are
-compared themselves.  Every pair that is left passes an exact bitmap bound on the symmetric
-difference and then an exact comparison of the two whole sets.
+Index-level skipping: lists hold each element's position, and a long list is cut into
+blocks by size of the set and position.  An entry names the blocks that may hold a partner
+(sizes near enough, few enough elements before the common one) and meets those alone, so
+blocks out of reach are never read.  Equal sets are one entry (*class*) of the join.
+
+Answer-level skipping: a list's members are first compared with leaders only.  The first
+leader is the member that holds the list's element foremost: it has the fewest elements of
+its own and so is nearest to most others.  A member's answer follows from its leader's where
+that suffices: linked members are in one component and need no pair of their own, and a
+pair is skipped when the exact distances to a common leader prove it too far (Jaccard
+distance is a metric).  Lists that still hold several components are compared with leaders
+of two of those; only pairs across components that are then left are compared themselves.
+Every such pair passes an exact bitmap bound on the symmetric difference and then an exact
+comparison of the two whole sets.
 
 The driver sees counts and the bounded list of frequent shingles, never links or
 components, which are found by label propagation on checkpointed tables.
@@ -29,6 +32,7 @@ of sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +49,15 @@ FREQUENT_MOST, FREQUENT_TIMES = 200_000, 4
 #: Bytes of text among which recurring shingles are looked for.
 RECUR_BYTES = 4 << 20
 BITMAP_BYTES = 128
-STAR_ROUNDS = 1
+#: Rounds of leaders.  Lists of more entries than a block are cut by size (steps of a factor) and position (parts of a set).
+LEADER_ROUNDS, BLOCK, SIZE_STEP, PARTS = 2, 32, 1.2, 16
 
 
 def sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Each document's distinct shingle hashes, ascending, end to end, and where each document begins."""
     buf = bk.LOWER[buf]
     start, end, first = bk.words(buf, offs)
-    h = bk.range_hashes(buf, start, end)
+    h = bk.word_hashes(buf, start, end)
     count = np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)
     n = len(h)
@@ -75,9 +80,15 @@ def sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndar
         where.append(short)
     if not out:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    s, where = np.concatenate(out), np.concatenate(where)
-    order = np.lexsort((s, where))
-    s, where = s[order], where[order]
+    if len(short):
+        s, where = np.concatenate(out), np.concatenate(where)
+        order = np.argsort(where, kind="stable")
+        s, where = s[order], where[order]
+    else:
+        s, where = out[0], where[0]
+    edge = np.searchsorted(where, np.arange(len(offs)))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        s[a:b].sort()
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != s[:-1]) | (where[1:] != where[:-1])
     s, where = s[keep], where[keep]
@@ -111,7 +122,7 @@ def _groups(docs: DataFrame, fields: list[tuple[str, str]], work, limit: int = b
             for part, buf, offs in bk.groups(batch, "text", limit):
                 yield pa.RecordBatch.from_arrays(work(part, *sets(buf, offs)), [name for name, _ in fields])
 
-    return docs.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in fields))
+    return bk.map_arrow(docs, run, ", ".join(f"{a} {b}" for a, b in fields))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -172,6 +183,51 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= least) & (i + j <= n + m - 2 * least)
 
 
+def _size_block(n: Column) -> Column:
+    return F.floor(F.ln(n) / F.lit(math.log(SIZE_STEP))).cast("int")
+
+
+def _own_block(m: str) -> list[Column]:
+    """Where a list's entry stands: block of its size, block of its position."""
+    n = F.col(f"{m}.n")
+    return [_size_block(n).alias("size_block"), F.floor(PARTS * F.col(f"{m}.pos") / n).cast("int").alias("place_block")]
+
+
+def _reach(m: str, percent: int) -> Column:
+    """The blocks that may hold a partner of an entry, as (size_block, place_block).
+
+    A partner of size s and position at least b s / PARTS shares ``least = r (n + s)`` elements, of which
+    none stands before either position; that bounds s from both sides for every b."""
+    r = percent / (100 + percent)
+    n, i = F.col(f"{m}.n").cast("double"), F.col(f"{m}.pos").cast("double")
+    near = 1e-6
+
+    def sizes(b: Column) -> Column:
+        part = b / F.lit(float(PARTS))
+        low, high = F.greatest(n * percent / 100, r * n / F.greatest(F.lit(1e-9), 1 - r - part)), F.least(n * 100 / percent, (n - i) / r - n)
+        slack, room = part - (1 - 2 * r), n * (1 - 2 * r) - i
+        high = F.when(slack > 1e-9, F.least(high, room / slack)).otherwise(high)
+        low = F.when(slack < -1e-9, F.greatest(low, room / slack)).otherwise(low)
+        return F.struct(_size_block(F.greatest(F.lit(1.0), low * (1 - near) - near)).alias("low"), F.when(high >= low * (1 - near) - near, _size_block(F.greatest(F.lit(1.0), high * (1 + near) + near))).alias("high"), b.alias("b"))
+
+    most = math.floor(PARTS * (100 - percent) / 100) + 1
+    ranges = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most)), sizes), lambda x: x["high"].isNotNull() & (x["high"] >= x["low"]))
+    return F.flatten(F.transform(ranges, lambda x: F.transform(F.sequence(x["low"], x["high"]), lambda k: F.struct(k.alias("size_block"), x["b"].alias("place_block")))))
+
+
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b across components: ``rest`` has h, size (of the list), label and m (class, n, pos)."""
+    as_two = lambda x: x.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    apart = (F.col("x.class") < F.col("y.class")) & (F.col("lx") != F.col("ly"))
+    first, second = [F.col("label").alias("lx"), F.col("m").alias("x")], [F.col("label").alias("ly"), F.col("m").alias("y")]
+    short, long = rest.where(F.col("size") <= BLOCK), rest.where(F.col("size") > BLOCK)
+    whole = short.select("h", *first).join(short.select("h", *second), "h").where(apart).where(_possible("x", "y", percent))
+    probes = long.select("h", *first, F.explode(_reach("m", percent)).alias("k")).select("h", "lx", "x", "k.*")
+    blocks = long.select("h", *second, *_own_block("m"))
+    met = probes.join(blocks, ["h", "size_block", "place_block"]).where(apart).where(_possible("x", "y", percent))
+    return as_two(whole).union(as_two(met))
+
+
 def _near_bitmaps(pairs: DataFrame, percent: int) -> DataFrame:
     """Drops pairs whose bitmaps differ in more bits than sets of that similarity may differ in elements."""
 
@@ -186,7 +242,7 @@ def _near_bitmaps(pairs: DataFrame, percent: int) -> DataFrame:
             kept = batch.filter(pa.array(differ <= total - 2 * least))
             yield kept.select([0, 1])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return bk.map_arrow(pairs, run, "a long, b long")
 
 
 def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +267,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
                 total.append(len(s) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
-    return rows.mapInArrow(run, "a long, b long, common long, total long")
+    return bk.map_arrow(rows, run, "a long, b long, common long, total long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -245,7 +301,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                 raw = buf.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([z.compress(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "row_key", "packed"])
 
-    return docs.mapInArrow(pack, f"doc_id {kind}, row_key long, packed binary")
+    return bk.map_arrow(docs, pack, f"doc_id {kind}, row_key long, packed binary")
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -283,24 +339,26 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
         labels = checkpointed(components(nodes, answers.where(near)))
         release(spark)
 
-    open_lists = hits
-    for turn in range(STAR_ROUNDS):
-        turned = F.xxhash64(F.lit(turn), F.col("class"))
-        ends = open_lists.groupBy("h").agg(F.min_by(F.struct("class", "n", "pos"), turned).alias("p"), F.max_by(F.struct("class", "n", "pos"), turned).alias("q")).where("p.class <> q.class")
-        leaders = ends.select("h", F.explode(F.array("p", "q")).alias("leader"))
-        member = open_lists.select("h", F.struct("class", "n", "pos").alias("member"))
-        stars = leaders.join(member, "h").where(F.col("leader.class") != F.col("member.class")).where(_possible("leader", "member", percent))
+    def several(lists: DataFrame) -> DataFrame:
+        """Entries of lists that hold several components, as h, size, label and m."""
+        known = lists.join(labels, lists["class"] == labels["node"]).drop("node")
+        undone = known.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.count(F.lit(1)).alias("size")).where("one <> two and size > 3")
+        return checkpointed(known.join(undone, "h").select("h", "size", "label", F.struct("class", "n", "pos").alias("m"), F.col("label").isin(F.col("one"), F.col("two")).alias("outer")))
+
+    member = hits.select("h", F.struct("class", "n", "pos").alias("m"))
+    foremost = F.struct("m.pos", "m.class")
+    leaders = member.groupBy("h").agg(F.min_by("m", foremost).alias("p"), F.max_by("m", foremost).alias("q")).where("p.class <> q.class").select("h", F.explode(F.array("p", "q")).alias("leader"))
+    rest = None
+    for turn in range(LEADER_ROUNDS):
+        if turn:
+            leaders = member.where("outer").groupBy("h", "label").agg(F.min_by("m", foremost).alias("leader"))
+        stars = leaders.select("h", "leader").join(member.select("h", F.col("m").alias("member")), "h").where(F.col("leader.class") != F.col("member.class")).where(_possible("leader", "member", percent))
         learn(fresh(stars.select(F.col("leader.class").alias("a"), F.col("member.class").alias("b"))))
-    # Pairs across components that the leaders' answers leave open.
-    with_label = open_lists.join(labels, open_lists["class"] == labels["node"]).drop("node")
-    undone = with_label.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.count(F.lit(1)).alias("size")).where("one <> two and size > 2").select("h")
-    rest = checkpointed(with_label.join(undone, "h").select("h", "label", F.struct("class", "n", "pos").alias("m")))
-    x, y = rest.select("h", F.col("label").alias("lx"), F.col("m").alias("x")), rest.select("h", F.col("label").alias("ly"), F.col("m").alias("y"))
-    across = x.join(y, "h").where((F.col("x.class") < F.col("y.class")) & (F.col("lx") != F.col("ly"))).where(_possible("x", "y", percent))
-    if rest.isEmpty():
-        return signed, answers.where(near), labels
-    open_pairs = fresh(across.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
-    learn(_not_far(open_pairs, answers, percent))
+        # Pairs across components that the leaders' answers leave open.
+        member = rest = several((rest.select("h", "m.*") if turn else hits))
+        if rest.isEmpty():
+            return signed, answers.where(near), labels
+    learn(_not_far(fresh(_across(rest, percent)), answers, percent))
     return signed, answers.where(near), labels
 
 

@@ -65,7 +65,7 @@ def measure_group(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     kept = np.unique(key, return_index=True)[1]
     out["n_dup_lines"] = out["n_lines"] - np.bincount(line_doc[kept], minlength=n_docs)[:n_docs]
     # Three-word windows that occur again in the same document.
-    h = bk.range_hashes(buf, start, end)
+    h = bk.word_hashes(buf, start, end)
     doc = np.searchsorted(first, np.arange(len(start)), "right") - 1
     repeated = np.zeros(len(start), bool)
     if len(h) >= 3:
