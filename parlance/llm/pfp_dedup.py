@@ -1,31 +1,34 @@
 """Repeated passages by prefix-free parsing.
 
-A rolling hash of ``GRAM`` bytes triggers the phrases of the parse: the trigger of a
-400-byte string is the least hash among its first ``REACH`` grams (the leftmost if equal),
-so it depends on the string alone and equal strings have equal triggers.  The starts of
-the strings that share one trigger form a run; the run's bytes are a *phrase* of the
-prefix-free dictionary (consecutive phrases overlap by the string length less one, so no
-phrase is a proper prefix of another's occurrence), and a document is the sequence of its
-phrases, the parse.
-
-Corpus order is only needed up to equality of 400-byte prefixes of suffixes, so the
-suffix arrays of dictionary and parse are kept as classes instead of sorted ranks:
-
-* dictionary: phrases are grouped by their *core* (the bytes from the trigger on that all
-  strings of the run contain).  A core that occurs once cannot be part of a repeat.  Where
-  all occurrences of a core have the same phrase, every string of the run is repeated.
-* suffixes of dictionary phrases: only for cores with several different phrases are the
-  phrases' own 400-byte strings compared, each distinct phrase once, by 128-bit hashes.
-* parse: classes of phrases and of their strings are carried back to all occurrences, and
-  the starts of repeated strings give the covered bytes of each document.
-
-Everything distributed is a count, with partial sums before the shuffle, or an equi-join
-on hashes that Spark may split where a key is hot.
+*Pruning parse.*  The trigger of a 400-byte string is the least rolling hash among its first
+``REACH`` grams (the leftmost if equal), so it depends on the string alone and equal strings
+have equal triggers.  The starts of the strings that share one trigger form a run; the run's
+bytes are a phrase of the dictionary and a document is the sequence of its phrases.  Phrases
+are grouped by their *core*, the bytes from the trigger on that all strings of the run
+contain.  A core that occurs once cannot be part of a repeat.  Where all occurrences of a
+core are one phrase, every string of the run is repeated.  What is left are cores with
+several different phrases; each distinct phrase goes on once.
+
+*Corpus order.*  Those phrases are put into suffix order, many cores at a time, by a
+prefix-free parse of their own (``suffix_order``): grams whose rolling hash is 0 modulo a
+number cut them into short phrases that overlap by a gram; the suffix array of the
+dictionary of distinct short phrases and the suffix array of the parse, both by prefix
+doubling, combine into the order of all suffixes: first by the rank of the dictionary's
+suffix, then by the rank of the parse's suffix behind it.  Strings that are equal are
+neighbours in that order, and neighbours are compared byte by byte.
+
+*Hot cores.*  A core of more than ``HOT_FORMS`` phrases is never gathered: its runs are cut
+into short runs aligned to the trigger, those that differ into single strings, and hashes of
+these are counted with partial sums.
+
+Everything distributed is a count, an equi-join on hashes that Spark may split where a key
+is hot, or an order of a bounded number of phrases.
 
 Defined cases: a null or empty text, or one of fewer bytes than the string length, has
 nothing removed unless it holds a whole string; matches never cross documents; overlapping
 repeats inside one document count; a repeated row counts as another document; extra
-columns are ignored.  Hashes: two independent 64-bit families.
+columns are ignored.  Hashes of cores, phrases and (of hot cores) strings: two independent
+64-bit families.
 """
 
 from __future__ import annotations
@@ -116,8 +119,77 @@ def phrases(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, reach: int
     return bk.map_arrow(docs, run, f"doc_id {kind}, row_key long, start int, n int, core long, phrase long")
 
 
-#: Strings in a sub-run, the second level of comparison.
-SUB_RUN = 8
+#: Cores of more distinct phrases are hot.  Strings in a short run of a hot core.
+HOT_FORMS, SUB_RUN = 1000, 8
+#: Of the prefix-free parse that gives the suffix order: bytes of a trigger, modulus of its hash.
+SHORT_GRAM, MODULUS = 12, 24
+
+
+def _doubled(rank: np.ndarray, end: np.ndarray, step: int, reach: int) -> np.ndarray:
+    """Ranks of the prefixes of ``reach`` items of the suffixes that end at ``end``, from ranks of their first ``step`` items."""
+    at = np.arange(len(rank))
+    while step < reach:
+        after = np.where(at + step < end, rank[np.minimum(at + step, len(rank) - 1)] + 1, 0)
+        rank = np.unique(rank * np.int64(len(rank) + 2) + after, return_inverse=True)[1]
+        step *= 2
+    return rank
+
+
+def _dictionary_order(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The rank of every suffix of every phrase; ``text`` has the phrases end to end."""
+    end = np.repeat(np.cumsum(size), size)
+    left = np.minimum(end - np.arange(len(text)), 8)
+    loads = np.ndarray(len(text), ">u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
+    loads &= ~((np.uint64(1) << (np.uint64(64) - left.astype(np.uint64) * np.uint64(8))) - np.uint64(1)) | np.uint64(0)
+    order = np.lexsort((left, loads))
+    new = np.ones(len(text), bool)
+    new[1:] = (loads[order[1:]] != loads[order[:-1]]) | (left[order[1:]] != left[order[:-1]])
+    rank = np.empty(len(text), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return _doubled(rank, end, 8, int(size.max(initial=1)))
+
+
+def suffix_order(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``starts`` in the order of the suffixes that begin there and go to the end of their texts."""
+    hashes = bk.Rolling(buf)
+    if len(buf) >= SHORT_GRAM:
+        grams = bk.mix((hashes.sums[SHORT_GRAM:] - hashes.sums[:-SHORT_GRAM]) * hashes.inverse[: len(buf) - SHORT_GRAM + 1])
+        trigger = np.flatnonzero(grams % np.uint64(MODULUS) == 0)
+        trigger = trigger[trigger + SHORT_GRAM <= offs[np.searchsorted(offs, trigger, "right")]]
+    else:
+        trigger = np.zeros(0, np.int64)
+    cuts = np.union1d(offs[:-1], trigger)
+    of = np.searchsorted(offs, cuts, "right")
+    last = np.append(of[1:] != of[:-1], True)
+    end = np.where(last, offs[of], np.append(cuts[1:], 0) + SHORT_GRAM)
+    # The dictionary: distinct phrases in suffix order.
+    _, where, phrase = np.unique(hashes.of(cuts, end), return_index=True, return_inverse=True)
+    size = end[where] - cuts[where]
+    first = np.cumsum(size) - size
+    text = buf[np.repeat(cuts[where] - first, size) + np.arange(size.sum())]
+    ranks = _dictionary_order(text, size)
+    # The parse: each text a sequence of phrases, its suffixes in order.
+    symbols = np.unique(ranks[first][phrase], return_inverse=True)[1]
+    per_text = np.bincount(of - 1, minlength=len(offs) - 1)
+    parse = _doubled(symbols, np.repeat(np.cumsum(per_text), per_text), 1, int(per_text.max(initial=1)))
+    # Both combined.
+    k = np.searchsorted(cuts, starts, "right") - 1
+    behind = np.where(last[k], 0, parse[np.minimum(k + 1, len(parse) - 1)] + 1)
+    return np.lexsort((behind, ranks[first[phrase[k]] + starts - cuts[k]]))
+
+
+def repeated_strings(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Starts of the strings of ``length`` bytes that start elsewhere as well, in texts laid end to end."""
+    count = np.maximum(0, np.diff(offs) - length + 1)
+    starts = np.repeat(offs[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    if len(starts) < 2:
+        return starts[:0]
+    order = starts[suffix_order(buf, offs, starts)]
+    loads = np.ndarray(max(1, len(buf) - 7), "<u8", buf if len(buf) >= 8 else np.zeros(8, np.uint8), strides=(1,))
+    same = np.arange(len(order) - 1)
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length >= 8 else [])]:
+        same = same[loads[order[same] + at] == loads[order[same + 1] + at]]
+    return np.unique(np.concatenate([order[same], order[same + 1]]))
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -158,8 +230,8 @@ def _unpack(column: pa.Array) -> list[bytes]:
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted phrases: doc_id, row_key, start, own, bytes."""
-    lists = wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n", "own")).alias("runs"))  # a document's own phrases
+    """The bytes of the wanted phrases: doc_id, row_key, start, own, bytes, core."""
+    lists = wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n", "own", "core")).alias("runs"))  # a document's own phrases
     kind = _of_docs(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +241,60 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 some = [raw[r["start"] : r["start"] + r["n"] + length - 1] for r in found]
                 at = pa.array([i] * len(found), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array([r["start"] for r in found], pa.int32()), pa.array([r["own"] for r in found], pa.bool_()), pa.array(some, pa.binary())],
-                    ["doc_id", "row_key", "start", "own", "bytes"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array([r["start"] for r in found], pa.int32()), pa.array([r["own"] for r in found], pa.bool_()), pa.array(some, pa.binary()), pa.array([r["core"] for r in found], pa.int64())],
+                    ["doc_id", "row_key", "start", "own", "bytes", "core"],
                 )
 
-    return bk.map_arrow(_texts_with(docs, lists, "inner"), run, f"doc_id {kind}, row_key long, start int, own boolean, bytes binary")
+    return bk.map_arrow(_texts_with(docs, lists, "inner"), run, f"doc_id {kind}, row_key long, start int, own boolean, bytes binary, core long")
+
+
+def _ordered(cut: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated strings of documents' own phrases, by suffix order of all phrases of each core: doc_id, row_key, start, n."""
+    kind = _of_docs(cut)
+    rows = cut.repartition("core").sortWithinPartitions("core")
+
+    def found(part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        buf, offs = bk.text_buffers(part.column("bytes").combine_chunks())
+        starts = repeated_strings(buf, offs, length)
+        new = np.ones(len(starts), bool)
+        of = np.searchsorted(offs, starts, "right") - 1
+        new[1:] = (starts[1:] != starts[:-1] + 1) | (of[1:] != of[:-1])
+        begin = np.flatnonzero(new)
+        n = np.diff(np.append(begin, len(starts)))
+        at = of[begin]
+        own = part.column("own").to_numpy()[at]
+        at, begin, n = at[own], begin[own], n[own]
+        start = part.column("start").to_numpy()[at] + starts[begin] - offs[at]
+        take = lambda c: part.column(c).combine_chunks().take(pa.array(at))
+        return pa.RecordBatch.from_arrays([take("doc_id"), take("row_key"), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "row_key", "start", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            core = batch.column(5).to_numpy()
+            while batch.num_rows:
+                held_core = held[-1].column(5)[-1].as_py() if held else None
+                if sum(b.nbytes for b in held) < bk.GROUP_BYTES:
+                    # Whole cores until the group is full, and the rest of the last one.
+                    upto = int(np.searchsorted(np.cumsum(_sizes(batch)), bk.GROUP_BYTES)) + 1
+                    upto = int(np.searchsorted(core, core[min(upto, len(core)) - 1], "right"))
+                else:
+                    upto = int(np.searchsorted(core, held_core, "right"))
+                    if not upto:
+                        yield found(pa.Table.from_batches(held))
+                        held = []
+                        continue
+                held.append(batch.slice(0, upto))
+                batch, core = batch.slice(upto), core[upto:]
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return bk.map_arrow(bk.bounded_batches(rows), run, f"doc_id {kind}, row_key long, start int, n int")
+
+
+def _sizes(batch: pa.RecordBatch) -> np.ndarray:
+    return np.diff(bk.text_buffers(batch.column(4))[1])
 
 
 def _sub_runs(cut: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
@@ -219,7 +340,7 @@ def _strings(cut: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part, buf, offs in bk.groups(batch, "bytes"):
                 one, two = bk.Rolling(buf), bk.Rolling(buf, True)
-                lists = part.column(5)
+                lists = part.column(6)
                 item = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 subs = lists.flatten()
                 first, n = subs.field(0).to_numpy().astype(np.int64), subs.field(1).to_numpy().astype(np.int64)
@@ -236,31 +357,44 @@ def _strings(cut: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     return bk.map_arrow(rows, run, f"doc_id {kind}, row_key long, start int, own boolean, h1 long, h2 long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, reach: int = REACH) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, reach: int = REACH, hot_forms: int = HOT_FORMS) -> DataFrame:
     """Runs of starts of repeated strings: doc_id, row_key, start, n.  ``docs`` has doc_id, row_key and text."""
     spark = docs.sparkSession
     keys = ["doc_id", "row_key", "start"]
     parse = phrases(docs, length, gram, reach)
-    known = parse.join(classes(parse), "core")
+    known = checkpointed(parse.join(classes(parse), "core"))
+    release(spark)
     # One row for each phrase of a core with several forms; the least occurrence stands for all.
-    forms = known.where("not alike").groupBy("core", "phrase").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*keys, "n")).alias("least"))
-    forms = checkpointed(forms)
-    wanted = forms.select("least.*", (F.col("times") == 1).alias("own"))
+    forms = checkpointed(known.where("not alike").groupBy("core", "phrase").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*keys, "n")).alias("least")))
     whole = known.where("alike").select(*keys, "n").union(known.where("not alike").join(forms.where("times > 1").select("core", "phrase"), ["core", "phrase"]).select(*keys, "n"))
     whole = checkpointed(whole)
+    del known
     release(spark)
-    cut = checkpointed(_cut(docs, wanted, length))
+    hot = forms.groupBy("core").agg((F.count(F.lit(1)) > hot_forms).alias("hot"))
+    wanted = forms.join(hot, "core").select("least.*", (F.col("times") == 1).alias("own"), "core", "hot")
+    out = whole.union(checkpointed(_ordered(_cut(docs, wanted.where("not hot"), length), length)))
     release(spark)
+    hottest = checkpointed(wanted.where("hot"))
+    if not hottest.isEmpty():
+        out = out.union(_of_hot_cores(docs, hottest, length, gram, reach))
+    return out
+
+
+def _of_hot_cores(docs: DataFrame, wanted: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
+    """Runs of repeated strings of the phrases of hot cores, by counts of hashes: doc_id, row_key, start, n."""
+    keys = ["doc_id", "row_key", "start"]
+    cut = checkpointed(_cut(docs, wanted, length))
+    release(docs.sparkSession)
     subs = _sub_runs(cut, length, gram, reach)
     judged = checkpointed(subs.join(classes(subs), "core").select(*keys, "own", "at", "n", "alike"))
-    release(spark)
+    release(docs.sparkSession)
     part = judged.where("alike and own").select("doc_id", "row_key", (F.col("start") + F.col("at")).alias("start"), "n")
     strings = _strings(cut, judged.where("not alike").select(*keys, "at", "n"), length)
     twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     single = strings.where("own").join(twice, ["h1", "h2"]).select(*keys, F.lit(1).alias("n"))
     out = checkpointed(part.union(single))
-    release(spark)
-    return whole.union(out)
+    release(docs.sparkSession)
+    return out
 
 
 def _kept(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes, int]:
@@ -279,7 +413,7 @@ def _kept(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes
     return b"".join(out), len(spans)
 
 
-def remove(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, carry: bool = False, hot_forms: int = HOT_FORMS) -> DataFrame:
     """doc_id, row_key, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every document.
 
     With ``carry``, the other columns of ``docs`` come along as the struct ``carried``, and ``kept`` is
@@ -287,7 +421,7 @@ def remove(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFr
     others = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("carried")] if carry else []
     whole = docs.select("doc_id", bk.row_key(), F.col("text").cast("string").alias("text"), *others)
     docs = whole.select("doc_id", "row_key", "text")
-    found = repeats(docs, length).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # a document's own runs
+    found = repeats(docs, length, hot_forms=hot_forms).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # a document's own runs
     kind = _of_docs(docs)
     names = ["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", *(["text", "carried"] if carry else ["kept"])]
 

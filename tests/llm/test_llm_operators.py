@@ -87,6 +87,50 @@ def test_repeats(docs, texts, empty):
     assert pfp_dedup.digest(empty).count() == 0
 
 
+def test_repeats_of_hot_cores(docs, texts):
+    """Cores of more than a few phrases go another way, to the same rows."""
+    cold = by_id(pfp_dedup.remove(docs))
+    hot = by_id(pfp_dedup.remove(docs, hot_forms=1))
+    assert all(cold[i] == hot[i] for i in range(len(texts)))
+
+
+def test_long_texts_are_parsed_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["".join(chr(97 + x) for x in rng.integers(0, 26, 3000)) for _ in range(2)]
+    texts += [texts[0][:1700] + texts[1][900:2600] + texts[0][200:900], "z" * 2500]
+    raw = [t.encode() for t in texts]
+    rows = list(enumerate(texts))
+    whole = pfp_dedup.brute_force(raw)
+    lists = []
+    monkeypatch.setattr(pfp_dedup, "PIECE", 500)
+    for t in raw:
+        buf, offs = np.frombuffer(t, np.uint8), np.array([0, len(t)])
+        starts = [shift + i for _, shift, some, at in pfp_dedup.pieces(buf, offs) for lo, hi, _ in [pfp_dedup.runs(some, at, pfp_dedup.bk.Rolling(some))] for a, b in zip(lo, hi, strict=True) for i in range(a, b + 1)]
+        lists.append(sorted(starts))
+    assert lists == [list(range(len(t) - 399)) for t in raw]
+    monkeypatch.undo()
+    got = by_id(pfp_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [tuple(got[i])[1:] for i in range(len(texts))] == whole
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(4)
+    for turn in range(60):
+        letters = [b"ab", bytes(range(97, 123)), bytes(range(256))][turn % 3]
+        pick = lambda n: bytes(letters[k] for k in rng.integers(0, len(letters), n))  # noqa: B023, E731
+        base = pick(int(rng.integers(1, 900)))
+        texts = [pick(int(rng.integers(0, 60))) + base[(a := int(rng.integers(0, len(base)))) : int(rng.integers(a, len(base) + 1))] + pick(int(rng.integers(0, 60))) for _ in range(rng.integers(1, 8))]
+        buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        length = [8, 20, 50, 100, 400][turn % 5]
+        places = [(int(o) + i, t[i:]) for t, o in zip(texts, offs, strict=False) for i in range(len(t) - length + 1)]
+        if places:
+            tails = dict(places)
+            order = np.array(sorted(tails))[pfp_dedup.suffix_order(buf, offs, np.array(sorted(tails)))]
+            assert [tails[p] for p in order.tolist()] == sorted(tails.values())
+        times = collections.Counter(t[:length] for _, t in places)
+        assert pfp_dedup.repeated_strings(buf, offs, length).tolist() == sorted(p for p, t in places if times[t[:length]] > 1)
+
+
 def test_licenses(docs, spark):
     texts = list(license_scan.TEMPLATES.values()) + ["nothing", None, "", "x " * 50 + license_scan.TEMPLATES["MIT-text"].replace("Software", "software!") + " y"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
