@@ -414,28 +414,28 @@ def _kept(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes
 
 
 def remove(docs: DataFrame, length: int = LENGTH, carry: bool = False, hot_forms: int = HOT_FORMS) -> DataFrame:
-    """doc_id, row_key, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every document.
+    """doc_id, row_key, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and ``text`` of every document.
 
-    With ``carry``, the other columns of ``docs`` come along as the struct ``carried``, and ``kept`` is
-    the string ``text``, without the bytes of characters that were cut."""
+    ``text`` is what remains, without the bytes of characters that were cut.  With ``carry``, the
+    other columns of ``docs`` come along as the struct ``carried``."""
     others = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("carried")] if carry else []
     whole = docs.select("doc_id", bk.row_key(), F.col("text").cast("string").alias("text"), *others)
     docs = whole.select("doc_id", "row_key", "text")
     found = repeats(docs, length, hot_forms=hot_forms).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # a document's own runs
     kind = _of_docs(docs)
-    names = ["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", *(["text", "carried"] if carry else ["kept"])]
+    names = ["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *(["carried"] if carry else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for raw, runs_ in zip(_unpack(batch.column(2)), batch.column(3 + carry), strict=True):
                 kept, spans = _kept(raw, [(r["start"], r["n"]) for r in runs_.as_py() or ()], length)
-                rows.append((len(raw), len(raw) - len(kept), spans, kept.decode("utf-8", "ignore") if carry else kept))
-            size, removed, spans, kept = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if carry else pa.binary()), *([batch.column(3)] if carry else [])], names)
+                rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            size, removed, spans, sha, text = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(sha, pa.string()), pa.array(text, pa.string()), *([batch.column(3)] if carry else [])], names)
 
-    more = f"text string, carried {whole.schema['carried'].dataType.simpleString()}" if carry else "kept binary"
-    return bk.map_arrow(_texts_with(whole, found, "left"), run, f"doc_id {kind}, row_key long, n_bytes long, n_removed long, n_spans long, {more}")
+    more = f", carried {whole.schema['carried'].dataType.simpleString()}" if carry else ""
+    return bk.map_arrow(_texts_with(whole, found, "left"), run, f"doc_id {kind}, row_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string{more}")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -448,8 +448,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``remove`` with the remaining bytes as their hash."""
-    return remove(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """``remove`` by document, with the code points that remain as ``n_chars``."""
+    return remove(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

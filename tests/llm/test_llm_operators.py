@@ -110,7 +110,7 @@ def test_long_texts_are_parsed_in_pieces(spark, monkeypatch):
     assert lists == [list(range(len(t) - 399)) for t in raw]
     monkeypatch.undo()
     got = by_id(pfp_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert [tuple(got[i])[1:] for i in range(len(texts))] == whole
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == whole
 
 
 def test_suffix_order():
