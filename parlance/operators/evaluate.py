@@ -12,33 +12,46 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), SPACES), lambda w: w != "")
 
 
-def _grams(c: Column, n: int) -> Column:
-    return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _grams(words: Column, n: int) -> Column:
+    """All n-grams of an array of words, joined by spaces: the array zipped with itself, moved on by one word each."""
+    m = F.greatest(F.lit(0), F.size(words) - (n - 1))
+    out = F.slice(words, F.lit(1), m)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(k + 1), m), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
 
 
-def gram_overlap(pairs: DataFrame, n: int) -> DataFrame:
-    """id, and the sizes of reference, candidate and clipped overlap of n-grams; ``pairs``: id, reference, candidate."""
-    side = lambda c: pairs.select("id", F.explode(_grams(tokens(F.col(c)), n)).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias(c))
-    both = side("reference").join(side("candidate"), ["id", "g"], "full").na.fill(0)
-    total = both.groupBy("id").agg(F.sum("reference").alias("n_ref"), F.sum("candidate").alias("n_cand"), F.sum(F.least("reference", "candidate")).alias("common"))
-    return pairs.select("id").join(total, "id", "left").na.fill(0)
+def gram_overlap(pairs: DataFrame, orders: list[int], split=tokens) -> DataFrame:
+    """id, and for each order n the sizes n_ref, n_cand and common (clipped overlap) of n-grams, as ``n_ref_1`` and so on.
 
+    Grams of both texts and of all orders go through one aggregation by pair, order and gram; a
+    pair's grams lie in one task, so they are summed before the shuffle."""
+    def marked(c: str, side: int, n: int) -> Column:
+        return F.transform(_grams(split(F.col(c)), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("side")))
 
-def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
-    p, r = F.coalesce(F.try_divide("common", "n_cand"), F.lit(0.0)), F.coalesce(F.try_divide("common", "n_ref"), F.lit(0.0))
-    return gram_overlap(pairs, n).select("id", F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
+    every = F.concat(*[marked(c, side, n) for side, c in enumerate(("reference", "candidate")) for n in orders])
+    rows = pairs.select("id", F.explode(every).alias("x")).select("id", "x.*")
+    counts = rows.groupBy("id", "n", "g").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
+    sums = [F.sum(F.when(F.col("n") == n, x).otherwise(F.lit(0))).alias(f"{name}_{n}") for n in orders for name, x in (("n_ref", F.col("r")), ("n_cand", F.col("c")), ("common", F.least("r", "c")))]
+    return pairs.select("id").join(counts.groupBy("id").agg(*sums), "id", "left").na.fill(0)
+
+
+def _share(a: str, b: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+
+
+def rouge_n(pairs: DataFrame, n: int, split=tokens) -> DataFrame:
+    p, r = _share(f"common_{n}", f"n_cand_{n}"), _share(f"common_{n}", f"n_ref_{n}")
+    return gram_overlap(pairs, [n], split).select("id", F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
 
 
 def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
     """Unsmoothed BLEU with a brevity penalty; 0 where an order has no match."""
-    out = pairs.select("id", F.size(tokens(F.col("reference"))).alias("n_r"), F.size(tokens(F.col("candidate"))).alias("n_c"))
-    log = F.lit(0.0)
-    for n in range(1, most + 1):
-        out = out.join(gram_overlap(pairs, n).select("id", F.coalesce(F.try_divide("common", "n_cand"), F.lit(0.0)).alias(f"p{n}")), "id")
-        log = log + F.ln(F.col(f"p{n}"))
-    short = F.when(F.col("n_c") > F.col("n_r"), 1.0).otherwise(F.exp(1 - F.try_divide("n_r", "n_c")))
-    every = F.least(*[F.col(f"p{n}") for n in range(1, most + 1)]) > 0
-    return out.select("id", F.round(F.when(every, short * F.exp(log / most)).otherwise(0.0), 6).alias("bleu"))
+    orders = list(range(1, most + 1))
+    shares = [_share(f"common_{n}", f"n_cand_{n}") for n in orders]
+    log = sum((F.ln(p) for p in shares), F.lit(0.0))
+    short = F.when(F.col("n_cand_1") > F.col("n_ref_1"), 1.0).otherwise(F.exp(1 - F.try_divide("n_ref_1", "n_cand_1")))
+    return gram_overlap(pairs, orders).select("id", F.round(F.when(F.least(*shares) > 0, short * F.exp(log / most)).otherwise(0.0), 6).alias("bleu"))
 
 
 def lcs(x: list[str], y: list[str]) -> int:

@@ -43,8 +43,9 @@ clauses AS (SELECT *, ['Premise','None','Opposition','Claim'][CAST((doc_id * 7 +
 NODES = CLAUSES + ", nodes AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY clause_id) - 1 AS INT) AS idx FROM clauses WHERE label <> 'None')"
 VECTORS = NODES + ", vecs AS (SELECT n.*, CAST(e.embedding AS DOUBLE[]) AS embedding FROM nodes n JOIN embeddings e ON e.vec_id = (n.doc_id * 31 + n.clause_id) % (SELECT count(*) FROM embeddings))"
 FOLLOWS = "follows AS (SELECT doc_id, clause_id AS source, lead(clause_id) OVER (PARTITION BY doc_id ORDER BY idx) AS target, 'follows' AS relation, 1.0::DOUBLE AS score FROM nodes QUALIFY target IS NOT NULL)"
-SEMANTIC = f"""semantic AS (SELECT a.doc_id, a.clause_id AS source, b.clause_id AS target, a.idx AS i, b.idx AS j, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS score
-  FROM vecs a JOIN vecs b ON a.doc_id = b.doc_id AND abs(a.idx - b.idx) BETWEEN 1 AND 10 WHERE round(list_cosine_similarity(a.embedding, b.embedding), 6) >= {THRESHOLD})"""
+SEMANTIC = f"""forward AS MATERIALIZED (SELECT a.doc_id, a.clause_id AS source, b.clause_id AS target, a.idx AS i, b.idx AS j, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS score
+  FROM vecs a JOIN vecs b ON a.doc_id = b.doc_id AND b.idx - a.idx BETWEEN 1 AND 10),
+semantic AS (SELECT * FROM forward WHERE score >= {THRESHOLD} UNION ALL SELECT doc_id, target, source, j, i, score FROM forward WHERE score >= {THRESHOLD})"""
 PRUNED = """outs AS (SELECT * FROM semantic QUALIFY row_number() OVER (PARTITION BY doc_id, source ORDER BY score DESC, j) <= 3),
 pruned AS (SELECT * FROM outs QUALIFY row_number() OVER (PARTITION BY doc_id, target ORDER BY score DESC, i) <= 3)"""
 TYPED = """typed AS (SELECT p.doc_id, p.source, p.target, CASE WHEN s.label = 'Opposition' OR t.label = 'Opposition' THEN 'red_opposes' ELSE 'green_support' END AS relation, p.score
@@ -126,7 +127,7 @@ def doc_split_train_val_test(spark, sf_dir):
     return context.split_documents(src.table(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH {NODES}, s AS (SELECT * FROM nodes WHERE (doc_id + clause_id) % 3 = 0 OR label = 'Claim'), c AS (SELECT label, count(*) AS c, max(count(*)) OVER () AS m FROM s GROUP BY label),
+@query(f"""WITH {NODES}, s AS (SELECT * FROM nodes), c AS (SELECT label, count(*) AS c, max(count(*)) OVER () AS m FROM s GROUP BY label),
 r AS (SELECT s.*, c.c, c.m, row_number() OVER (PARTITION BY s.label ORDER BY md5(doc_id::VARCHAR || '-' || clause_id::VARCHAR)) AS r FROM s JOIN c USING (label))
 SELECT label, count(*) AS n, count(DISTINCT doc_id) AS documents, sum(clause_id)::BIGINT AS clause_sum FROM (SELECT *, unnest(range(CAST(m // c + CASE WHEN r <= m % c THEN 1 ELSE 0 END AS BIGINT))) FROM r) GROUP BY label""")
 def upsample_balance(spark, sf_dir):
@@ -326,7 +327,7 @@ def citation_lookup(spark, sf_dir):
     return citations.resolve(citations.citation_graph(rows), rows)
 
 
-@query(f"""WITH {VECTORS}, s AS (SELECT doc_id * 1000 + clause_id AS source_id, (doc_id + 1) AS target_doc, embedding FROM vecs WHERE clause_id = 1), j AS (SELECT source_id, s.target_doc, v.clause_id AS target_clause, round(list_cosine_similarity(s.embedding, v.embedding), 6) AS s FROM s JOIN vecs v ON v.doc_id = s.target_doc)
+@query(f"""WITH {VECTORS}, s AS (SELECT doc_id * 1000 + clause_id AS source_id, (doc_id + 1) AS target_doc, embedding FROM vecs), j AS (SELECT source_id, s.target_doc, v.clause_id AS target_clause, round(list_cosine_similarity(s.embedding, v.embedding), 6) AS s FROM s JOIN vecs v ON v.doc_id = s.target_doc)
 SELECT source_id, target_doc, target_clause, s AS similarity FROM j WHERE s > 0.15 - 0.01 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY s DESC, target_clause) = 1""")
 def nearest_target_clause(spark, sf_dir):
     v = vectors_of(spark, sf_dir)
@@ -520,7 +521,10 @@ def marked_body(spark, sf_dir):
     return marked.select("doc_id", F.size(tx.body_lines(F.col("t"))).alias("n"), tx.joined_body(F.col("t")).alias("joined"))
 
 
-@query(r"WITH d AS (SELECT doc_id, 'ab-' || chr(10) || 'cd' || chr(10) || 'ef. ' || chr(10) || chr(10) || chr(10) || 'X' || chr(10) || 'Y' || doc_id AS t FROM documents) SELECT doc_id, 'abcd ef. ' || chr(10) || chr(10) || 'X Y' || doc_id AS text FROM d")
+_JOINED = "regexp_replace(regexp_replace(regexp_replace(replace(text, '-' || chr(10), ''), '([a-z])\\n([a-z])', '\\1 \\2', 'g'), ',\\n([a-z])', ', \\1', 'g'), '([^.!?])\\n([a-z])', '\\1 \\2', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_replace(replace(regexp_replace(replace(regexp_replace({_JOINED}, '\\n{{2,}}', chr(1), 'g'), chr(10), ' '), ' {{2,}}', ' ', 'g'), chr(1), chr(10) || chr(10)), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS text FROM documents")
 def paragraph_cleaning(spark, sf_dir):
     return src.table(spark, sf_dir, "documents").select("doc_id", tx.clean_paragraphs(F.col("text")).alias("text"))
 
@@ -539,7 +543,7 @@ def reasoning_extract(spark, sf_dir):
     return src.table(spark, sf_dir, "documents").select("doc_id", tx.reasoning_part(t).alias("reasoning"))
 
 
-@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS place FROM documents WHERE doc_id < 200")
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS place FROM documents")
 def natural_order(spark, sf_dir):
     rows = src.table(spark, sf_dir, "documents").select("doc_id", tx.natural_key(F.concat(F.lit("Case"), "doc_id", F.lit(".txt"))).alias("k"))
     return context.ordered_ranks(rows, "k").select("doc_id", F.col("rank").cast("int").alias("place"))
