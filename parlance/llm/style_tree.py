@@ -1,14 +1,23 @@
 """Main text of web pages by a site style tree.
 
 Every page is read into a DOM of structural elements.  The DOMs of a host are merged into
-one style tree: a tree node is a path of elements with their presentation (tag, class
-words), and it gathers how its content is distributed over the host's pages.  A node's
-importance is the entropy of that distribution (0: the same content on all pages, 1:
-different on each) times a prior from its presentation: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments have none.  A page
-keeps the blocks of branches that are important enough, those of its article or main
-element if it has one.  Pages of equal content count once, so that copies of a page do
-not make its article look like boilerplate.
+one style tree: a tree node is a path of elements (tag, class words), and it gathers over
+the host's pages how its *presentation* (the sequence of its children) and its *content*
+(all text below it) are distributed.  With m pages, l different presentations and entropies
+of base m, the importance of a node is
+
+    (1 - DECAY**l) * H(presentation) + DECAY**l * H(content)
+
+so a menu that is built alike and says the same on all pages has 0, an article near 1, and
+anything that is on one page only has 1.  A branch of importance below ``LEAST_IMPORTANCE``
+is removed from every page with all that is below it.  Pages of equal content count once, so
+that copies of a page do not make its article look like boilerplate.
+
+What varies from page to page and still is no main text (reader comments, forms, related
+articles, adverts that change) has importance 0 by a prior on its element's names, and
+where a page marks its article or main element, blocks outside it have importance 0 too.
+The three parts can be switched off one by one (``extract``), which tests use to show what
+each decides.
 
 Pages of one host are never gathered: the tree is made of counts with partial sums before
 the shuffle, and only the low branches are joined back to the pages that have them.
@@ -30,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import bytekit as bk
+from parlance.llm.cluster import checkpointed
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>|</?[a-zA-Z][^<]*\Z|</?[a-zA-Z][^<>]*>?|<|[^<]+", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -45,9 +55,7 @@ NOISE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article main".split())
 #: An open element of the key is closed by the start of one of the values.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
-#: A branch with so many different pages is dropped if its importance is below the limit.
-LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
-LINKED_SHARE = 0.5
+LEAST_IMPORTANCE, DECAY, LINKED_SHARE = 0.2, 0.9, 0.5
 
 
 def _digest(*parts: str) -> int:
@@ -150,15 +158,26 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def main_text(found: list[Block], low: frozenset[int]) -> str:
-    """The blocks of important branches joined; those of article or main elements if there are any."""
-    kept = [b for b in found if not b.noise]
-    if any(b.main for b in kept):
+def branches(path: str) -> list[str]:
+    """The path of a block and of all elements around it."""
+    parts = path.split("/")
+    return ["/".join(parts[: k + 1]) for k in range(len(parts))]
+
+
+def main_text(found: list[Block], low: frozenset[int], prior: bool = True, main: bool = True) -> str:
+    """The blocks of important branches joined."""
+    known: dict[str, bool] = {}
+
+    def important(path: str) -> bool:
+        if path not in known:
+            known[path] = not any(_digest(x) in low for x in branches(path))
+        return known[path]
+
+    kept = [b for b in found if not (prior and b.noise) and (not low or important(b.path))]
+    if main and any(b.main for b in kept):
         kept = [b for b in kept if b.main]
-    else:
+    elif prior:
         kept = [b for b in kept if b.linked < LINKED_SHARE]
-    if low:
-        kept = [b for b in kept if _digest(b.path) not in low]
     return "\n\n".join(b.text for b in kept)
 
 
@@ -166,41 +185,56 @@ def _host():
     return F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def tree_nodes(found: list[Block]) -> tuple[dict[str, tuple[int, int]], int]:
+    """For each style tree node of a page what its presentation and its content are, and the page's content."""
+    shape: dict[str, list[str]] = {}
+    content: dict[str, list[str]] = {}
+    for b in found:
+        around = branches(b.path)
+        for outer, inner in zip(around, [*around[1:], "#"], strict=True):
+            shape.setdefault(outer, []).append(inner.rsplit("/", 1)[-1])
+            content.setdefault(outer, []).append(b.text)
+    nodes = {path: (_digest(*shape[path]), _digest(*content[path])) for path in shape}
+    return nodes, _digest(*(b.text for b in found))
+
+
 def style_rows(pages: DataFrame) -> DataFrame:
-    """One row for each style tree node of a page: page_id, row_key, host, path, what the node holds, and the page's content."""
+    """One row for each style tree node of a page: page_id, row_key, host, path, presentation, content, and the page's content."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, page in enumerate(batch.column(3)):
-                nodes: dict[str, list[str]] = {}
-                for b in blocks(page.as_py() or ""):
-                    if not b.noise:  # the prior has already settled the others
-                        nodes.setdefault(b.path, []).append(b.text)
-                whole = _digest(*(t for texts in nodes.values() for t in texts))
-                rows += [(i, _digest(path), _digest(*texts), whole) for path, texts in nodes.items()]
-            at, path, content, whole = zip(*rows, strict=True) if rows else ((),) * 4
+                nodes, whole = tree_nodes(blocks(page.as_py() or ""))
+                rows += [(i, _digest(path), shape, content, whole) for path, (shape, content) in nodes.items()]
+            at, path, shape, content, whole = zip(*rows, strict=True) if rows else ((),) * 5
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), *(pa.array(x, pa.int64()) for x in (path, content, whole))], ["page_id", "row_key", "host", "path", "content", "whole"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), *(pa.array(x, pa.int64()) for x in (path, shape, content, whole))], ["page_id", "row_key", "host", "path", "presentation", "content", "whole"])
 
-    return bk.map_arrow(bk.bounded_batches(pages), run, f"page_id {kind}, row_key long, host string, path long, content long, whole long")
+    return bk.map_arrow(bk.bounded_batches(pages), run, f"page_id {kind}, row_key long, host string, path long, presentation long, content long, whole long")
 
 
 def importance(rows: DataFrame) -> DataFrame:
-    """The style tree: host, path, pages (of different content) and importance (entropy of content, 0 to 1)."""
-    one = rows.select("host", "path", "content", "whole").distinct()
-    counts = one.groupBy("host", "path", "content").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    nodes = counts.groupBy("host", "path").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.ln("c")).alias("s"))
-    return nodes.withColumn("importance", F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), (F.ln("pages") - F.col("s") / F.col("pages")) / F.ln("pages"))).otherwise(1.0)).drop("s")
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """The style tree: host, path, pages (of different content) and importance, 0 to 1."""
+    one = rows.select("host", "path", "presentation", "content", "whole").distinct()
+    counts = one.groupBy("host", "path", "presentation", "content").agg(F.count(F.lit(1)).alias("c"))
+    both = counts.select("host", "path", "c", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("v"))
+    kinds = both.groupBy("host", "path", "v").agg(F.sum("c").cast("double").alias("c"))
+    of = lambda kind, x: F.sum(F.when(F.col("v.kind") == kind, x).otherwise(F.lit(0.0)))
+    log = F.col("c") * F.ln("c")
+    nodes = kinds.groupBy("host", "path").agg(of(0, F.col("c")).alias("pages"), of(0, F.lit(1.0)).alias("styles"), of(0, log).alias("s0"), of(1, log).alias("s1"))
+    entropy = lambda s: F.greatest(F.lit(0.0), (F.ln("pages") - F.col(s) / F.col("pages")) / F.ln("pages"))
+    part = F.pow(F.lit(DECAY), F.col("styles"))
+    return nodes.select("host", "path", "pages", F.when(F.col("pages") > 1, (1 - part) * entropy("s0") + part * entropy("s1")).otherwise(1.0).alias("importance"))
+
+
+def extract(pages: DataFrame, entropy: bool = True, prior: bool = True, main: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every page; the flags switch off the tree, the prior on names and the article's element."""
     pages = pages.select("page_id", F.xxhash64("url", "html").alias("row_key"), _host().alias("host"), "html", "url")
     kind, url = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    rows = style_rows(pages.select("page_id", "row_key", "host", "html"))
-    low = importance(rows).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
+    rows = checkpointed(style_rows(pages.select("page_id", "row_key", "host", "html")))
+    low = importance(rows).where((F.col("importance") < LEAST_IMPORTANCE) & F.lit(entropy)).select("host", "path")
     marks = rows.join(low, ["host", "path"]).groupBy(F.col("page_id").alias("m_id"), F.col("row_key").alias("m_key")).agg(F.collect_set("path").alias("low"))  # a page's own paths
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +252,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = [main_text(blocks(z.decompress(x.as_py()).decode()), frozenset(l.as_py() or ())) for x, l in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [main_text(blocks(z.decompress(x.as_py()).decode()), frozenset(l.as_py() or ()), prior, main) for x, l in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     both = packed.join(marks, packed["page_id"].eqNullSafe(marks["m_id"]) & (packed["row_key"] == marks["m_key"]), "left").select("page_id", "url", "packed", "low")

@@ -73,6 +73,70 @@ def test_style_tree_drops_what_every_page_repeats(spark):
     assert {r["text"] for r in style_tree.extract(pages).collect()} == {f"Text number {i}" for i in range(12)}
 
 
+SHELL = "<body><div class='top'><ul><li>Home page</li><li>News of today</li></ul></div><div class='x{0}'><h1>Title {0}</h1>{1}</div><div class='b'><span>Same words below</span><p>Imprint</p></div></body>"
+
+
+def brute_tree(pages, prior, main):
+    """Importance by the definition, page by page."""
+    import math
+
+    found = [style_tree.blocks(h) for h in pages]
+    seen, low = {}, set()
+    for f in found:
+        seen.setdefault(tuple(b.text for b in f), f)
+    per = collections.defaultdict(list)
+    for f in seen.values():
+        for path, pair in style_tree.tree_nodes(f)[0].items():
+            per[path].append(pair)
+    for path, pairs in per.items():
+        m = len(pairs)
+        h = [-sum(c / m * math.log(c / m, m) for c in collections.Counter(x[k] for x in pairs).values()) if m > 1 else 1 for k in (0, 1)]
+        part = style_tree.DECAY ** len({x[0] for x in pairs})
+        if m > 1 and (1 - part) * h[0] + part * h[1] < style_tree.LEAST_IMPORTANCE:
+            low.add(path)
+    out = []
+    for f in found:
+        kept = [b for b in f if not (prior and b.noise) and not any(x in low for x in style_tree.branches(b.path))]
+        if main and any(b.main for b in kept):
+            kept = [b for b in kept if b.main]
+        elif prior:
+            kept = [b for b in kept if b.linked < style_tree.LINKED_SHARE]
+        out.append("\n\n".join(b.text for b in kept))
+    return out
+
+
+def test_style_tree_equals_brute_force_and_entropy_decides(spark):
+    """Pages without an article element or telling names: the tree alone finds what they share."""
+    bodies = ["".join(f"<p>Words {i} of {k}</p>" for k in range(1 + i % 4)) for i in range(12)]
+    pages = [SHELL.format("", b).replace("Title ", f"Title {i}") for i, b in enumerate(bodies)] + [SHELL.format("", bodies[0]).replace("Title ", "Title 0")] * 3
+    frame = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    texts = lambda **o: [r["text"] for r in style_tree.extract(frame, **o).orderBy("page_id").collect()]
+    for prior in (True, False):
+        assert texts(prior=prior, main=prior) == brute_tree(pages, prior, prior)
+    alone, without = texts(prior=False, main=False), texts(entropy=False)
+    assert alone[1] == "Title 1\n\nWords 1 of 0\n\nWords 1 of 1" and all("Home" not in t and "Imprint" not in t for t in alone)
+    assert all("Home" in t and "Imprint" in t for t in without)
+
+
+def test_style_tree_of_real_pages(spark):
+    """All pages of a few sites against the definition, with and without the prior on names."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("host", style_tree._host())
+    some = [r["host"] for r in pages.groupBy("host").count().orderBy(F.desc("count"), "host").limit(4).collect()]
+    for host in some:
+        of_host = pages.where(F.col("host") == host)
+        rows = of_host.orderBy("page_id").collect()
+        for flag in (True, False):
+            got = {r["page_id"]: r["text"] for r in style_tree.extract(of_host, prior=flag, main=flag).collect()}
+            assert [got[r["page_id"]] for r in rows] == brute_tree([r["html"] for r in rows], flag, flag)
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://h.example/1", "<p>a b</p>", "x", 1, 2)] * 3, "page_id long, url string, html string, path string, host int, row_key int")
+    assert [r["text"] for r in style_tree.extract(rows).collect()] == ["a b"] * 3
+
+
 def test_style_tree_keeps_copies_of_a_page(spark):
     page = "<body><article><p>{}</p></article>"
     rows = [(i, f"http://h.example/{i}", page.format("copied article")) for i in range(20)]
