@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,10 +27,88 @@ CITATION_PATTERNS = [
     (r"\[[^\]]*SC Appeal No[^\]]*(\d+)/(\d{4})[^\]]*\]", "SC/CA/"),
     (r"SC/(\d+)/(\d{4})", "SC/"),
 ]
+# Forms of case numbers, and of quoted texts, in the order in which they are tried.
 CASE_PATTERNS = [r"(?i)SC[_\s]?(?:CA|FR|SPL)?[_\s]?(\d+)[_\s]?(\d{4})", r"(?i)SC[/\s]?(?:CA|FR|APPEAL)[/\s]?(\d+)[/\s]?(\d{4})", r"(?i)SC\s+Appeal\s+(?:No[:\s]*)?(\d+)[/\s]?(\d{4})", r"(?i)SC[_\s/](\d+)[_\s/](\d{4})"]
 QUOTES = [r'"([^"]+)"', "\u201c([^\u201d]+)\u201d", r"'([^']+)'"]
 
 
+# The patterns of citations with their places, and how each writes its citation: with the type (typed),
+# as an appeal, or bare.
+SPAN_PATTERNS = [
+    (r"SC/CA/(\d+)/(\d{4})", "typed"),
+    (r"SC/FR/(\d+)/(\d{4})", "typed"),
+    (r"SC/APPEAL/(\d+)/(\d{4})", "bare"),
+    (r"SC Appeal No[:\s]*(\d+)/(\d{4})", "appeal"),
+    (r"SC APPEAL NO[:\s]*(\d+)/(\d{4})", "appeal"),
+    (r"SC Appeal (\d+)/(\d{4})", "appeal"),
+    (r"S\.C Appeal No[:\s]*(\d+)/(\d{4})", "bare"),
+    (r"S\.C\. Appeal No[:\s]*(\d+)/(\d{4})", "bare"),
+    (r"SC FR No[:\s]*(\d+)/(\d{4})", "bare"),
+    (r"SC FR (\d+)/(\d{4})", "bare"),
+    (r"\([^)]*SC Appeal No[^)]*(\d+)/(\d{4})[^)]*\)", "appeal"),
+    (r"\[[^\]]*SC Appeal No[^\]]*(\d+)/(\d{4})[^\]]*\]", "appeal"),
+    (r"\([^)]*SC/CA/[^)]*(\d+)/(\d{4})[^)]*\)", "typed"),
+    (r'\[[^\]]*SC/CA/[^"]*(\d+)/(\d{4})[^\]]*\]', "typed"),
+    (r"[A-Z][^[]*\[[^\]]*SC Appeal No[^\]]*(\d+)/(\d{4})[^\]]*\]", "appeal"),
+    (r'[A-Z][^[]*\[[^\]]*SC/CA/[^"]*(\d+)/(\d{4})[^\]]*\]', "typed"),
+    (r"cited.*?SC/CA/(\d+)/(\d{4})", "typed"),
+    (r"cited.*?SC/FR/(\d+)/(\d{4})", "typed"),
+    (r"referred.*?SC/CA/(\d+)/(\d{4})", "typed"),
+    (r"referred.*?SC/FR/(\d+)/(\d{4})", "typed"),
+    (r"following.*?SC/CA/(\d+)/(\d{4})", "typed"),
+    (r"following.*?SC/FR/(\d+)/(\d{4})", "typed"),
+    (r"SC/(\d+)/(\d{4})", "bare"),
+]
+AROUND = 20
+
+
+def spans(c: Column) -> Column:
+    """All citations of a text in the order of the patterns: citation, matched, start and stop.
+
+    The type is FR where pattern or match say so, else that of an appeal, else what stands within
+    ``AROUND`` characters.  Places need match offsets, so this runs in Arrow batches."""
+
+    @F.pandas_udf("array<struct<citation:string,matched:string,start:int,stop:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        known = [(re.compile(p, re.I), "FR" in p, "APPEAL" in p.upper(), form) for p, form in SPAN_PATTERNS]
+
+        def one(text: str | None) -> list[dict]:
+            out = []
+            for pattern, says_fr, says_appeal, form in known if text and re.search("S\\.?C", text, re.I) else ():
+                for m in pattern.finditer(text):
+                    near = text[max(0, m.start() - AROUND) : m.end() + AROUND].upper()
+                    kind = "FR" if says_fr or "FR" in m[0] or (not says_appeal and "FR" in near) else "CA"
+                    name = {"typed": f"SC/{kind}/{m[1]}/{m[2]}", "appeal": f"SC Appeal No {m[1]}/{m[2]}", "bare": f"SC/{m[1]}/{m[2]}"}[form]
+                    out.append({"citation": name, "matched": m[0], "start": m.start(), "stop": m.end()})
+            return out
+
+        return texts.map(one)
+
+    return run(c)
+
+
+def cited_spans(rows: DataFrame) -> DataFrame:
+    """doc_id, clause_id, cited, citation, matched, start, stop: the first of each cited document and citation of a clause.
+
+    ``rows``: doc_id, clause_id, name (of the document), text; a document does not cite itself."""
+    found = rows.select("doc_id", "clause_id", "name", F.posexplode(spans(F.col("text"))).alias("at", "s")).select("doc_id", "clause_id", "at", "s.*", citation_name(F.col("s.citation"), F.col("name")).alias("cited"))
+    return first_seen(found.where("cited is not null"), ["doc_id", "clause_id", "cited", "citation"], "at").drop("at")
+
+
+def extraction_stats(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: documents, those with citations, citations, those with a target clause, distinct cited documents.
+
+    ``found``: doc_id, cited, target_clause (null without one)."""
+    total = found.agg(F.countDistinct("doc_id").alias("with_citations"), F.count(F.lit(1)).alias("citations"), F.count("target_clause").alias("with_target"), F.countDistinct("cited").alias("cited_documents"))
+    return documents.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("documents")).crossJoin(F.broadcast(total))  # one row
+
+
+def target_clauses(links: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Links with the text of their target clause, null where the cited document lacks it; ``links``: cited, target_clause."""
+    known = clauses.select(F.col("name").alias("cited"), F.col("clause_id").alias("target_clause"), F.col("text").alias("target_text"))
+    return links.join(known, ["cited", "target_clause"], "left")
+
+
 def _named(kind: str, cut: str) -> Callable[[Column], Column]:
     return lambda m: F.concat(F.when(F.upper(m).contains("FR"), "SC/FR/").otherwise(kind), F.regexp_extract(m, cut, 1), F.lit("/"), F.regexp_extract(m, cut, 2))
 

@@ -118,3 +118,11 @@ def name_found(name: Column, text: Column) -> Column:
 
 def compression(reference: Column, candidate: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(F.size(tokens(reference)), F.size(tokens(candidate))), 6), F.lit(0.0))
+
+
+def classification_summary(rows: DataFrame) -> DataFrame:
+    """Macro averages of the classes' scores, and accuracy; ``rows``: y, predicted."""
+    report = classification_report(rows)
+    hits = rows.agg(F.round(F.avg(F.when(F.col("y") == F.col("predicted"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
+    macro = report.agg(*[F.round(F.avg(c), 5).alias(f"macro_{c}") for c in ("p", "r", "f1")])
+    return macro.crossJoin(F.broadcast(hits))  # one row

@@ -69,6 +69,10 @@ ORDERS = [
 COSTS_ONLY = [r"\bno costs (?:ordered|awarded)\b", r"\bi (?:make |order )?no order for costs\b", r"\b(?:i )?(?:order|ordered) (?:no )?costs\b"]
 
 
+#: Columns that a hybrid score needs.
+SIGNALS = ("pagerank", "betweenness", "citation", "centroid_similarity", "support_in")
+
+
 def role_weight(label: Column) -> Column:
     out = F.lit(OTHER_ROLE)
     for name, w in ROLE_WEIGHTS.items():
@@ -104,8 +108,11 @@ def min_max(c: str, key: str = "doc_id") -> Column:
 def hybrid_score(rows: DataFrame) -> DataFrame:
     """The weighted sum of the signal columns with the text factors, min-max scaled by document.
 
-    ``rows``: doc_id, clause_id, text, label, idx, name and any of the signals; a missing signal is 0."""
-    have = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in rows.columns else F.lit(0.0)
+    ``rows``: doc_id, clause_id, text, label, idx, name and the columns of ``SIGNALS``; a null signal is 0, a
+    missing column is an error."""
+    if lost := [c for c in SIGNALS if c not in rows.columns]:
+        raise ValueError(f"signals are missing: {', '.join(lost)}")
+    have = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     by_doc = Window.partitionBy("doc_id")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(by_doc))
     boosted = role_weight(F.col("label")) * (1 + 0.5 * have("pagerank"))
@@ -142,7 +149,7 @@ def dedup_penalty(rows: DataFrame, threshold: float = 0.92, penalty: float = 0.9
     return out.drop("near", "u", "rank")
 
 
-def adaptive_k(n: Column, edges: Column, kind: Column, method: str = "hybrid", least: int = 5, most: int = 50, share: float = 0.15) -> Column:
+def adaptive_k(n: Column, edges: Column, kind: Column, method: str = "hybrid", least: int = 5, most: int = 50, share: float = 0.15, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> Column:
     """How many clauses a document gives, by a method."""
     clamp = lambda k: F.greatest(F.lit(least), F.least(F.lit(most), k)).cast("int")
     by_share = lambda r: clamp(F.floor(n * r))
@@ -155,7 +162,7 @@ def adaptive_k(n: Column, edges: Column, kind: Column, method: str = "hybrid", l
         return by_share(F.when(kind == "Fundamental Rights", 0.13).when(kind == "Civil Appeal", 0.17).otherwise(0.15))
     if method == "hybrid":
         parts = [adaptive_k(n, edges, kind, m, least, most) for m in ("length", "complexity", "case_type")]
-        return clamp(F.bround(F.round(0.4 * parts[0] + 0.3 * parts[1] + 0.3 * parts[2], 6), 0))
+        return clamp(F.bround(F.round(sum((w * k for w, k in zip(weights, parts, strict=True)), F.lit(0.0)), 6), 0))
     return by_share(share)
 
 

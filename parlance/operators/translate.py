@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Code ranges, what may end a block, how far ahead it may go on, the placeholder's form.
 RANGES = {"sinhala": "඀-෿", "tamil": "஀-௿"}
@@ -63,3 +64,60 @@ def signed(c: Column) -> Column:
 def restored(text: Column, signs: Column, translate=lambda block: block) -> Column:
     """Placeholders replaced by their blocks' translations (identity by default); unknown ones stay."""
     return F.aggregate(signs, text, lambda t, s: F.replace(t, s["sign"], translate(s["text"])))
+
+
+def _blocks(c: Column, marks: list[str]) -> Column:
+    """The parts of a text that begin with a marker, as structs of marker and block."""
+    escaped = "|".join(re.escape(m) for m in marks)
+    parts = F.regexp_extract_all(c, F.lit(rf"(?s)(?:{escaped})(?:(?!{escaped}).)*"), F.lit(0))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, f"^({escaped})", 1).alias("mark"), F.trim(x).alias("block")))
+
+
+def question_answer_pairs(rows, key: str = "doc_id", text: str = "text"):
+    """key, place, mark (Q or A), block, foreign and lang of every marked block with foreign text, and ``pair``.
+
+    A question's text ends with ?, an answer's with a full stop.  An answer belongs to the last question
+    before it that has none yet; a pair is named by its question's place."""
+    from parlance.functions.text import ANSWER_MARKERS, QUESTION_MARKERS, question_answer
+
+    found = rows.select(key, F.posexplode(_blocks(F.col(text), [*QUESTION_MARKERS, *ANSWER_MARKERS])).alias("place", "b"))
+    found = found.select(key, "place", F.col("b.block").alias("block"), question_answer(F.col("b.block")).alias("line")).withColumn("f", first_block(F.col("line")))
+    found = found.where("f is not null").withColumn("mark", F.substring("line", 1, 1))
+    ending = F.when(F.col("mark") == "Q", "?").otherwise(".")
+    found = found.select(key, "place", "mark", "block", F.when(F.col("f.text").endswith(ending), F.col("f.text")).otherwise(F.concat("f.text", ending)).alias("foreign"), F.col("f.lang").alias("lang"))
+    # A run of questions and answers: the first answer behind a question is its own.
+    by_place = Window.partitionBy(key).orderBy("place")
+    asked = F.when(F.col("mark") == "Q", F.col("place"))
+    own = F.when((F.col("mark") == "A") & (F.lag("mark").over(by_place) == "Q"), F.lag("place").over(by_place))
+    return found.withColumn("pair", F.coalesce(asked, own))
+
+
+def chunks(text: str, most: int, split=str.split, join=" ".join) -> list[str]:
+    """Sentences (cut at full stops and dandas) packed greedily into chunks of ``most`` tokens; a longer sentence is cut by tokens.
+
+    ``split`` and ``join`` are the tokenizer's."""
+    if len(split(text)) <= most:
+        return [text]
+    out, held = [], ""
+    for sentence in filter(str.strip, re.split(r"[।.]", text)):
+        more = f"{held} {sentence}".strip()
+        if len(split(more)) <= most:
+            held = more
+            continue
+        if held:
+            out.append(held)
+        tokens = split(sentence)
+        held = "" if len(tokens) > most else sentence.strip()
+        if not held:
+            out += [join(tokens[i : i + most]).strip() for i in range(0, len(tokens), most)]
+    return [*out, held] if held else out
+
+
+def token_chunks(c: Column, most: int = 1024) -> Column:
+    """Chunks of a text for a model that takes ``most`` tokens, by white space unless ``chunks`` is given a tokenizer."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else chunks(t, most))
+
+    return run(c)

@@ -1,8 +1,7 @@
 """The registered queries, by name, with their SQL for a second engine.
 
 Clause texts come from the lines of ``documents``; labels, embeddings and case names are the
-stand-ins of ``sources.tables``.  Rules whose vocabulary the tables do not hold run on
-literal rows, the same in both engines."""
+stand-ins of ``sources.tables``."""
 
 from __future__ import annotations
 
@@ -62,11 +61,6 @@ def quote(s: str | None) -> str:
     return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 
 
-def values(rows: list[tuple], names: str) -> str:
-    """The literal rows as SQL."""
-    return "(VALUES " + ", ".join("(" + ", ".join(quote(x) if isinstance(x, str) or x is None else str(x) for x in r) + ")" for r in rows) + f") AS v({names})"
-
-
 def rlike(c: str, patterns: list[str]) -> str:
     return f"regexp_matches({c}, {quote(tx.any_of(patterns))})"
 
@@ -144,14 +138,6 @@ def html_strip(spark, sf_dir):
     return src.table(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
-LATEX = [(1, "\\textbf{Order} of the {Court} $x_{2}$ \\n next"), (2, "plain <b>bold</b> &nbsp; \\emph{a b}  \\section c\\\\d"), (3, ""), (4, "\u201cquoted\u201d \u2018x\u2019 {}")]
-
-
-@query(rf"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(t, '\n', chr(10)), '<[^>]+>', ' ', 'g'), '&[a-zA-Z]+;', ' ', 'g'), '\\[a-zA-Z]+\{{([^{{}}]*)\}}', '\1', 'g'), '\\[a-zA-Z]+', ' ', 'g'), '[{{}}]', ' ', 'g'), '\\', ' ', 'g'), '["“”‘’]+', '"', 'g'), '[ \t\n\x0B\f\r]{{2,}}', ' ', 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS text FROM {values(LATEX, 'id, t')}""")
-def latex_strip(spark, sf_dir):
-    return src.literal(spark, LATEX, "id int, t string").select("id", tx.strip_latex(F.col("t")).alias("text"))
-
-
 HARD = "[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ;=]"
 
 
@@ -168,14 +154,6 @@ def page_number_lines(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count_if(tx.page_line(F.col("line"))).alias("page_lines"), F.count(F.lit(1)).alias("lines"))
 
 
-FOREIGN = [(1, "plain"), (2, "\u0d85\u0db8 x"), (3, "\u0b85\u0bae"), (4, "\u0d85 \u0b85"), (5, None)]
-
-
-@query(rf"SELECT id, CASE WHEN s AND t THEN 'mixed' WHEN s THEN 'sinhala' WHEN t THEN 'tamil' END AS lang FROM (SELECT id, regexp_matches(x, '[\x{{0D80}}-\x{{0DFF}}]') AS s, regexp_matches(x, '[\x{{0B80}}-\x{{0BFF}}]') AS t FROM {values(FOREIGN, 'id, x')})")
-def lang_block_tag(spark, sf_dir):
-    return src.literal(spark, FOREIGN, "id int, x string").select("id", tx.language_tag(F.col("x")).alias("lang"))
-
-
 HEADED = "headed AS (SELECT doc_id, pos, 'SC Appeal ' || doc_id || ' page ' || line || ' end of line' AS line FROM lines UNION ALL SELECT doc_id, 1000000, 'a lone line' FROM documents)"
 
 
@@ -296,13 +274,6 @@ CITED_SQL = "list_sort(list_distinct(flatten([" + ", ".join(
 ) + "])))"
 
 
-@query(f"SELECT d.doc_id * 10 + id AS key, array_to_string({CITED_SQL}, ';') AS cited, len({CITED_SQL}) AS n FROM {values(CITING, 'id, t')}, documents d WHERE t IS NOT NULL")
-def citation_extract(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, CITING, "id int, t string")))  # literal rows
-    c = citations.citations(F.col("t"))
-    return rows.where("t is not null").select((F.col("doc_id") * 10 + F.col("id")).alias("key"), F.array_join(c, ";").alias("cited"), F.size(c).alias("n"))
-
-
 NAMED = "named AS (SELECT (CASE WHEN doc_id % 2 = 0 THEN 'SC_FR_' ELSE 'SC_CA_' END) || doc_id || '_2010' AS name, 'cites SC/' || (CASE WHEN doc_id % 3 = 0 THEN 'FR' ELSE 'CA' END) || '/' || (doc_id // 2) || '/2010 and SC/CA/' || (doc_id % 7) || '/2010' AS t FROM documents)"
 
 
@@ -349,32 +320,6 @@ def adaptive_k_all_methods(spark, sf_dir):
     return d.select("doc_id", *[ranking.adaptive_k(F.col("n"), F.col("e"), F.col("t"), m).alias(f"k_{m}") for m in ("percentage", "length", "complexity", "case_type", "hybrid")])
 
 
-RULINGS = [
-    "The appeal is dismissed with costs.", "I direct the registrar to send the record.", "No costs ordered in this matter.", "The parties lived at the same place.", "For the foregoing reasons the petition is allowed.",
-    "He was paid with costs of the day.", "I set aside the order and\nrestore the judgment", "(a) shall lodge a notice of appeal under the section", "The State shall pay the costs", "that order will stand",
-]
-RULED = f"ruled AS (SELECT doc_id, id AS clause_id, id - 1 AS idx, t AS text, (doc_id + id) % 4 = 0 AS selected FROM documents, {values(list(enumerate(RULINGS, 1)), 'id, t')})"
-JUDGED = f"""judged AS (SELECT *, {rlike('trim(text)', ranking.STRONG_DISPOSITIONS)} AS strong, {rlike('text', ranking.WEAK_DISPOSITIONS)} AS w0,
- CASE WHEN {rlike('trim(text)', ranking.MAIN_OUTCOMES)} THEN 1 WHEN {rlike('trim(text)', ranking.ORDERS)} THEN 2 WHEN {rlike('trim(text)', ranking.COSTS_ONLY)} THEN 3 ELSE 2 END AS priority FROM ruled)"""
-
-
-def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, list(enumerate(RULINGS, 1)), "clause_id int, text string")))  # literal rows
-    return rows.select("doc_id", "clause_id", (F.col("clause_id") - 1).alias("idx"), "text", ((F.col("doc_id") + F.col("clause_id")) % 4 == 0).alias("selected"))
-
-
-@query(f"WITH {RULED}, {JUDGED} SELECT doc_id, clause_id, strong, NOT strong AND w0 AS weak, priority FROM judged")
-def disposition_detect(spark, sf_dir):
-    return ranking.dispositions(ruled(spark, sf_dir)).select("doc_id", "clause_id", "strong", "weak", "priority")
-
-
-@query(f"""WITH {RULED}, {JUDGED}, r AS (SELECT *, CASE WHEN bool_or(strong) OVER w THEN strong ELSE w0 AND NOT strong END AS required FROM judged WINDOW w AS (PARTITION BY doc_id)),
-c AS (SELECT *, bool_or(required AND selected) OVER (PARTITION BY doc_id) AS covered, row_number() OVER (PARTITION BY doc_id, required ORDER BY priority, idx DESC) AS b FROM r), f AS (SELECT *, required AND NOT covered AND b = 1 AS forced FROM c)
-SELECT doc_id, clause_id, forced, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS INT) AS doc_order FROM f WHERE selected OR forced""")
-def disposition_guarantee(spark, sf_dir):
-    return ranking.document_order(ranking.guarantee_disposition(ruled(spark, sf_dir))).select("doc_id", "clause_id", "forced", "doc_order")
-
-
 @query()
 def hybrid_ranking(spark, sf_dir):
     """All signals: graph, roles, citations, embeddings, position; scores, ranks and an adaptive selection."""
@@ -408,27 +353,6 @@ def mmr_selection(spark, sf_dir):
     return ranking.mmr(rows, 5)
 
 
-SENTENCES = ["we came here today but we saw nothing at all", "we came but we saw nothing", "they will all contribute very much money here", "however, the court said no more; therefore, the matter of the appeal rests here today", ""]
-
-
-@query()
-def clause_split(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, list(enumerate(SENTENCES, 1)), "id int, t string")))  # literal rows
-    return rows.select("doc_id", "id", F.posexplode(segment.split_clauses(F.col("t"))).alias("part", "clause"))
-
-
-REWRITES = [
-    (1, "The petitioner filed the application in this court in time.", "The petitioner filed the application in time."), (2, "He lived in Colombo for ten years and more.", "He lived in the United States for ten years."), (3, "The land belongs to the plaintiff by a deed of the", "The land belongs to the plaintiff by deed of the"),
-    (4, "It was said and the court agreed with it fully.", "and the court agreed with it fully."), (5, "short one", "short"), (6, "It follows (a) first and (b) second from the record.", "It follows (a) first from the record."), (7, "He said that he came. He left.", "He said that he came. He said that he came."), (8, "He has had enough of it all by then.", "He has had had enough of it all."),
-]
-
-
-@query("SELECT d.doc_id * 10 + x.id AS key, x.reason FROM documents d, (VALUES (1, NULL), (2, 'invented_phrase'), (3, 'truncated'), (4, 'fragment'), (5, 'too_short'), (6, 'lost_enumeration'), (7, 'repetition'), (8, 'doubled_word')) AS x(id, reason)")
-def summary_guards(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, REWRITES, "id int, o string, s string")))  # literal rows
-    return rows.select((F.col("doc_id") * 10 + F.col("id")).alias("key"), tx.guard(F.col("o"), F.col("s")).alias("reason"))
-
-
 @query()
 def structured_summary(spark, sf_dir):
     picked = top_clauses_per_document(spark, sf_dir).select("doc_id", "clause_id").join(src.clauses(spark, sf_dir), ["doc_id", "clause_id"])
@@ -497,23 +421,6 @@ def graph_json_roundtrip(spark, sf_dir):
     return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("e.score"), 5).alias("total"))
 
 
-LITERAL_LINES = ["Page 3 of 9 the order was made", "12 the text 14", "(1) first item 2010", "2010 was the year 7", "the year was 2010", "12/A block", "of 7 remain 3 of 9", "45", "the Court 12", "", "7 - abc"]
-
-
-@query()
-def line_edge_numbers(spark, sf_dir):
-    rows = src.literal(spark, list(enumerate(LITERAL_LINES)), "id int, t string")
-    return rows.select("id", tx.edge_numbers(F.col("t")).alias("cut"), tx.keep_safely(F.col("t"), tx.edge_numbers(F.col("t"))).alias("kept"))
-
-
-ASKED = ["Q. why", "Q:why", " A. because", "c: yes", "C: no", "plain", "පු: x", "උ: y"]
-
-
-@query("SELECT * FROM (VALUES (0, 'Q:why'), (1, 'Q:why'), (2, 'A:because'), (3, 'A:yes'), (4, 'A:no'), (5, 'plain'), (6, 'Q:x'), (7, 'A:y')) v(id, line)")
-def question_answer_markers(spark, sf_dir):
-    return src.literal(spark, list(enumerate(ASKED)), "id int, t string").select("id", tx.question_answer(F.col("t")).alias("line"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) ELSE 0 END AS n, CASE WHEN doc_id % 2 = 0 THEN 'meta' || chr(10) || '=== BODY ===' || chr(10) || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''), lambda x: trim(x, ' ')), ' ') ELSE text END AS joined FROM documents")
 def marked_body(spark, sf_dir):
     d = src.table(spark, sf_dir, "documents")
@@ -529,35 +436,12 @@ def paragraph_cleaning(spark, sf_dir):
     return src.table(spark, sf_dir, "documents").select("doc_id", tx.clean_paragraphs(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Key points stay' || doc_id WHEN doc_id % 3 = 1 THEN 'one' || chr(10) || 'two' END AS summary FROM documents")
-def summary_choice(spark, sf_dir):
-    d = src.table(spark, sf_dir, "documents").select("doc_id")
-    final = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Key points (compressed from selected clauses) stay"), "doc_id")).when(F.col("doc_id") % 3 == 1, "")
-    bullets = F.when(F.col("doc_id") % 3 == 1, F.array(F.lit("one"), F.lit(""), F.lit("two")))
-    return d.select("doc_id", tx.chosen_summary(final, bullets).alias("summary"))
-
-
-@query("SELECT doc_id, '1. reason ' || doc_id AS reasoning FROM documents")
-def reasoning_extract(spark, sf_dir):
-    t = F.concat(F.lit("Lead.\nKey reasoning (compressed from selected clauses):\n1. reason  "), F.col("doc_id"), F.lit("\nKey holding (verbatim clause): h"))
-    return src.table(spark, sf_dir, "documents").select("doc_id", tx.reasoning_part(t).alias("reasoning"))
-
-
 @query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS place FROM documents")
 def natural_order(spark, sf_dir):
     rows = src.table(spark, sf_dir, "documents").select("doc_id", tx.natural_key(F.concat(F.lit("Case"), "doc_id", F.lit(".txt"))).alias("k"))
     return context.ordered_ranks(rows, "k").select("doc_id", F.col("rank").cast("int").alias("place"))
 
 
-CASES = [("SC_CA_12_2010", "SC/CA/12/2010"), ("SC_FR_4_2009", "SC FR 4 2009"), ("SC_7_2001", "SC Appeal No: 9/2011"), ("x", "none"), ("SC_CA_1_2000", "SC/3/1999")]
-
-
-@query("SELECT d.doc_id * 10 + id AS key, v.name FROM documents d, (VALUES (1, NULL), (2, NULL), (3, 'SC_CA_9_2011'), (4, NULL), (5, 'SC_CA_3_1999')) v(id, name)")
-def citation_names(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, [(i, *c) for i, c in enumerate(CASES, 1)], "id int, own string, c string")))  # literal rows
-    return rows.select((F.col("doc_id") * 10 + F.col("id")).alias("key"), citations.citation_name(F.col("c"), F.col("own")).alias("name"))
-
-
 def _precedent_sql(k: int) -> str:
     out = f"{GRAPH_SQL}, names AS (SELECT DISTINCT name FROM (SELECT doc AS name FROM g UNION ALL SELECT cited FROM g)), o AS (SELECT doc AS name, count(*) AS o FROM g GROUP BY doc), q0 AS (SELECT name, o, 1.0 / count(*) OVER () AS r FROM names LEFT JOIN o USING (name))"
     for i in range(k):
@@ -607,30 +491,12 @@ def argmax_logits(spark, sf_dir):
     return src.table(spark, sf_dir, "embeddings").select("vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int").alias("best"))
 
 
-HEADS = ["SC 1 Decided on: 12.03.2010 Sisira de Abrew, J. The petitioner came", "DATE OF JUDGMENT 2 May 2011 the body", "no head at all", "Date and the body Decided on 2 May 2011 Rest"]
-
-
-@query("SELECT d.doc_id * 10 + id AS key, v.split_after FROM documents d, (VALUES (0, 'judge'), (1, 'date'), (2, NULL), (3, 'date')) v(id, split_after)")
-def metadata_split(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, list(enumerate(HEADS)), "id int, t string")))  # literal rows
-    return rows.select((F.col("doc_id") * 10 + F.col("id")).alias("key"), structure.metadata_split(F.col("t"))["split_after"].alias("split_after"))
-
-
 @query()
 def sentence_split(spark, sf_dir):
     d = src.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(structure.repair_sentences(structure.sentences(structure.clean_body(F.col("text"))))).alias("pos", "sentence"))
 
 
-SPOKEN = ["I find that we hold it", "In my view I dismiss it", "but denied the claim", "But rather the act", "even though held so", "even So it was", "and the Court sat", "plain text"]
-
-
-@query("SELECT d.doc_id * 10 + id AS key, v.line FROM documents d, (VALUES (0, 'The Court finds that The Court holds it'), (1, 'In the Court''s view The Court dismisses it'), (2, 'The Court noted that the Respondent denied the claim'), (3, 'The Court noted that the provision applies rather the act'), (4, 'The Court noted that it held so'), (5, 'The Court noted that so it was'), (6, 'The Court noted that court sat'), (7, 'plain text')) v(id, line)")
-def third_person(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(src.literal(spark, list(enumerate(SPOKEN)), "id int, t string")))  # literal rows
-    return rows.select((F.col("doc_id") * 10 + F.col("id")).alias("key"), tx.repaired_start(tx.third_person(F.col("t"))).alias("line"))
-
-
 @query("SELECT doc_id, 'x §SIG0001. y ' || doc_id || ' §SIG0002' AS signed, 2 AS n, 'x ' || chr(3461) || chr(3512) || '. y ' || doc_id || ' ' || chr(2949) AS restored, chr(3461) || chr(3512) AS first_block FROM documents")
 def foreign_blocks(spark, sf_dir):
     text = F.concat(F.lit("x අම. y "), F.col("doc_id"), F.lit(" அ"))
@@ -644,8 +510,12 @@ def eval_rouge_l(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from parlance.plans import more  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from parlance.plans import more  # noqa: F401
+
     return dict(SQL)

@@ -6,7 +6,7 @@ import pytest
 
 from parlance.plans import catalog
 
-CHECKED = ["top_clauses_per_document", "label_distribution", "context_string", "header_detect", "argument_graph", "degree_centrality", "citation_lookup", "adaptive_k_all_methods", "disposition_guarantee", "summary_guards", "eval_rouge2", "classification_report", "citation_importance", "marked_body", "citation_names", "page_of_offset", "third_person", "foreign_blocks", "metadata_split"]
+CHECKED = ["top_clauses_per_document", "label_distribution", "context_string", "header_detect", "argument_graph", "degree_centrality", "citation_lookup", "adaptive_k_all_methods", "guaranteed_dispositions", "early_guards", "page_routes", "headnote_sections", "graph_files", "citation_features", "graph_tensors", "model_labels", "conjunction_starts", "eval_rouge2", "classification_report", "citation_importance", "marked_body", "citation_names", "page_of_offset", "third_person", "foreign_blocks", "metadata_of_documents"]
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
@@ -19,6 +19,6 @@ def test_same_rows(spark, small, name):
     db = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "labels", "conversations", "benchmark"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
-    got, want = catalog.QUERIES[name](spark, small).toPandas(), db.sql(catalog.SQL[name]).df()
+    got, want = catalog.queries()[name](spark, small).toPandas(), db.sql(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) and rows(got) == rows(want)

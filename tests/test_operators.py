@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
-from parlance.operators import centrality, citations, context, evaluate, graph, ranking, segment, structure
+from parlance.operators import centrality, citations, cleaner, context, evaluate, graph, headnotes, ranking, segment, structure, translate
 from parlance.plans import catalog
 from parlance.sources import tables as src
 
@@ -279,14 +279,113 @@ def test_mmr_prefers_what_differs(spark):
     assert got == [1, 3]
 
 
-def test_metadata_split():
-    assert structure.split_head("SC 1 Decided on: 12.03.2010 Sisira de Abrew, J. The petitioner came") == ("SC 1 Decided on: 12.03.2010 Sisira de Abrew, J.", "The petitioner came", "judge")
-    assert structure.split_head("DATE OF JUDGMENT 2 May 2011 the body") == ("DATE OF JUDGMENT 2 May 2011", "the body", "date")
-    assert structure.split_head("no head at all") == (None, "no head at all", None)
+@pytest.mark.parametrize(
+    ("text", "split"),
+    [
+        ("SC 1 Decided on: 12.03.2010 Sisira de Abrew, J. The petitioner came", ("SC 1 Decided on: 12.03.2010 Sisira de Abrew, J.", "The petitioner came", "judge")),
+        ("DATE OF JUDGMENT 2 May 2011 the body", ("DATE OF JUDGMENT 2 May 2011", "the body", "date")),
+        ("no head at all", (None, "no head at all", None)),
+        ("Date and the body Decided on 2 May 2011 Rest", ("Date and the body Decided on 2 May 2011", "Rest", "date")),
+        ("Order on the matter. Delivered on 2010-02-03\nRest of it", ("Order on the matter. Delivered on 2010-02-03", "Rest of it", "date")),
+        ("decided to go on", (None, "decided to go on", None)),
+    ],
+)
+def test_metadata_split(spark, text, split):
+    assert tuple(one(spark, structure.metadata_split(F.lit(text)))) == split
 
 
 def test_sentences(spark):
     text = "See No. 12 of it. He came! (Vide the rest). Then (section 3) ended. (Section 4) holds"
     assert one(spark, structure.sentences(F.lit(text))) == ["See No. 12 of it.", "He came! (Vide the rest).", "Then (section 3) ended. (Section 4) holds"]
-    assert structure.repaired(["1.", "First", "list; 2.", "Second", "By S.A.M.", "Silva came", "It runs", "(i) on"]) == ["1. First", "list;", "2. Second", "By S.A.M. Silva came", "It runs (i) on"]
-    assert structure.merge_lettered(["a.", "one", "", "b. two", "c."]) == ["a. one", "b. two", "c."]
+    strings = lambda *x: F.array(*map(F.lit, x))
+    assert one(spark, structure.repair_sentences(strings("1.", "First", "list; 2.", "Second", "By S.A.M.", "Silva came", "It runs", "(i) on"))) == ["1. First", "list;", "2. Second", "By S.A.M. Silva came", "It runs (i) on"]
+    assert one(spark, structure.repair_sentences(strings("By S.A.", "(a) then", "ended; 3.", "7."))) == ["By S.A.", "(a) then", "ended;", "3. 7."]
+    assert one(spark, structure.repair_sentences(strings("x", "9."))) == ["x", "9."]
+    assert one(spark, structure.merge_lettered(strings("a.", "one", "", "b. two", "c."))) == ["a. one", "b. two", "c."]
+
+
+def test_sentence_rules(spark):
+    assert one(spark, structure.apply_rules(F.lit("See Dr.\nSmith. He paid Rs.\n500. Next"))) == "See Dr. Smith.\nHe paid Rs. 500. Next"
+    rows = spark.createDataFrame([("a.\nthe first. Then No.\n12 came! It was so.",), (None,), ("",)], "text string")
+    got = [r["sentences"] for r in structure.body_sentences(rows).collect()]
+    assert got[0][-1] == "It was so." and got[1] is None and got[2] == []
+
+
+def cleaned_lines(lines):
+    """The cleaner on one document's lines, by its rules."""
+    strip_html = lambda x: re.sub(r"\s+", " ", re.sub("&[a-zA-Z]+;", " ", re.sub("<[^>]+>", " ", x))).strip()
+    pages = [re.compile(p, re.I) for p in tx.PAGE_LINES]
+    head, foot = "Header of all", "end of all"
+    for _ in range(2):
+        out = []
+        for line in lines:
+            x = strip_html(line)
+            x = re.sub(rf"(?i)\b{foot}\b", "", re.sub(rf"(?i)\s*[-–—:]*\s*{foot}\s*$", "", re.sub(rf"(?i)\b{head}\b", "", re.sub(rf"(?i)^\s*{head}\s*[-–—:]*\s*", "", x))))
+            x = re.sub(r"\s+", " ", x).strip()
+            if not x or any(p.match(x) for p in pages):
+                if re.search(tx.LEGAL_WORDS, line) or len(re.sub("[^A-Za-z]", "", line)) >= 3:
+                    out.append(line.strip())
+                continue
+            out.append(x)
+        lines = out
+    return lines
+
+
+def test_document_cleaner(spark):
+    words = ["alpha beta", "gamma <b>delta</b> x", "the Court", "", "one more &nbsp; word", "Page 3 of 9", "last of them"]
+    lines = ["Title of it", *[f"Header of all {w} end of all" if w and w != "Page 3 of 9" else w for w in words], "Header of all end of all"]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines, 1)] + [(2, 1, "lone"), (3, 1, ""), (4, 1, None)], "doc_id long, pos int, line string")
+    got = {r["doc_id"]: r["text"] for r in cleaner.joined(cleaner.clean(rows)).collect()}
+    assert got == {1: "\n".join(cleaned_lines(lines)), 2: "lone"}
+    assert "Header" not in got[1].split("\n")[1] and "delta x" in got[1]
+
+
+def test_citation_spans(spark):
+    rows = spark.createDataFrame([(1, 1, "SC_CA_1_2010", "cited in SC/CA/12/2010 and then, much later in the text, SC FR No 4/2009; own SC/CA/1/2010")], "doc_id long, clause_id int, name string, text string")
+    got = {(r["cited"], r["citation"], r["start"]) for r in citations.cited_spans(rows).collect()}
+    assert got == {("SC_CA_12_2010", "SC/CA/12/2010", 9), ("SC_CA_4_2009", "SC/4/2009", 57)}
+    assert citations.cited_spans(rows.limit(0)).count() == 0
+
+
+def test_question_answer_pairs(spark):
+    rows = spark.createDataFrame([(1, "Q. \u0d85 A: \u0d85\u0db8 A: \u0d85 Q: plain A: \u0b85"), (2, None)], "doc_id long, text string")
+    got = [(r["mark"], r["foreign"], r["pair"]) for r in translate.question_answer_pairs(rows).orderBy("place").collect()]
+    assert [g[0] for g in got] == ["Q", "A", "A", "A"] and got[0][1] == "\u0d85?" and got[1][1] == "\u0d85\u0db8."
+    assert got[0][2] == got[1][2] is not None and got[2][2] is None and got[3][2] is None
+
+
+def test_chunks():
+    assert translate.chunks("a b c", 5) == ["a b c"]
+    assert translate.chunks("a b. c d. e", 4) == ["a b  c d", "e"]
+    assert translate.chunks("a b c d e f g. h", 3) == ["a b c", "d e f", "g", "h"]
+
+
+def test_headnotes(spark):
+    text = "Parties\nMarch 3, 2010\nfacts here\nmore\nHeld:\nfirst\nPer A, J. so\nHeld further that\nsecond\nCases referred to: Old v New - 1990\n1. Case name - 1999\nA. B. name\nX for petitioner\nrest"
+    lines = headnotes.headnote_lines(F.lit(text))
+    assert one(spark, headnotes.before_held(lines)) == "facts here more"
+    assert one(spark, headnotes.held(lines)) == "first Per A, J. so second"
+    assert one(spark, headnotes.case_names(headnotes.cases_referred(lines))) == ["Old v New", "Case name"]
+    assert one(spark, headnotes.held(headnotes.headnote_lines(F.lit("no heading")))) == ""
+
+
+def test_later_guards(spark):
+    said = "It was said and the court agreed with it fully."
+    assert one(spark, tx.guard(F.lit("He said that he came. He left."), F.lit("He said that he came. He said that he came."))) == "repetition"
+    assert one(spark, tx.guard(F.lit(said), F.lit("He has had had enough of it all."))) == "doubled_word"
+    assert one(spark, tx.guard(F.lit("It follows (a) first and (b) second."), F.lit("It follows (a) first of them."))) == "lost_enumeration"
+    assert one(spark, tx.guard(F.lit(said), F.lit("Yes. It was said so then. Yes. Done."))) == "repeated_sentence"
+
+
+def test_ranking_driver(spark, small):
+    rows = catalog.queries()["ranking_driver"](spark, small).cache()
+    aside = {r["doc_id"] for r in rows.where("reason is not null").collect()}
+    good = rows.where("reason is null")
+    assert aside and all(d % 50 == 7 for d in aside) and good.where("doc_id % 50 = 7").isEmpty()
+    assert good.where("rank > k and not forced").isEmpty() and good.groupBy("doc_id", "doc_order").count().where("count > 1").isEmpty()
+
+
+def test_missing_signals_are_errors(spark):
+    rows = spark.createDataFrame([(1, 1, 0, "a", "Claim", "x")], "doc_id long, clause_id int, idx int, text string, label string, name string")
+    with pytest.raises(ValueError, match="betweenness"):
+        ranking.hybrid_score(rows)
