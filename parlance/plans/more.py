@@ -52,7 +52,7 @@ _HEAD, _HEAD_SQL = planted(HEADS, "doc_id")
 def metadata_of_documents(spark, sf_dir):
     """Which cut separates metadata and body; texts that hold a phrase of their own are left out of this comparison alone."""
     d = src.table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?i)decided|judge?ment\s*on|argued|order\s*(delivered\s*)?on|delivered\s*on|date|decide\s*on|judgment\s*(pronounced|delivered)"))
-    rows = d.select("doc_id", structure.metadata_split(F.concat(F.lit("SC "), "doc_id", F.lit(" "), _HEAD(), F.lit(" The petitioner came. "), "text")).alias("s"))
+    rows = d.select("doc_id", structure.metadata_split(F.concat(F.lit("SC "), "doc_id", F.lit(" "), _HEAD(), F.lit(" The petitioner came. " + "so it was then and there " * 6), "text")).alias("s"))
     return rows.select("doc_id", "s.split_after")
 
 
