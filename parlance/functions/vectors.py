@@ -25,31 +25,34 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector of length 1, so that a cosine is one dot product; null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 1e-9, F.transform(a, lambda x: x / n))
+    """The vector of length 1, so that a cosine is one dot product; null for a zero vector.
 
+    The length is bound once by an outer transform; inside the inner one it would be computed for every element."""
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.when(n > 1e-9, F.transform(a, lambda x: x / n))), 1)
 
-def _products(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
-    """Dot products of two columns of vectors, from their flat buffers."""
+
+def _cosines(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """Cosines of two columns of vectors, from their flat buffers; nan where a vector is (almost) zero."""
     x, y = a.flatten().to_numpy(zero_copy_only=False), b.flatten().to_numpy(zero_copy_only=False)
-    edge = a.offsets.to_numpy() - a.offsets[0].as_py()
-    if not np.array_equal(np.diff(edge), np.diff(b.offsets.to_numpy())):
+    first = a.offsets.to_numpy() - a.offsets[0].as_py()
+    size = np.diff(first)
+    if not np.array_equal(size, np.diff(b.offsets.to_numpy())):
         raise ValueError("vectors of different lengths")
-    total = np.concatenate([[0.0], np.cumsum(x * y)]) if len(set(np.diff(edge).tolist())) > 1 else None
-    if total is not None:
-        return total[edge[1:]] - total[edge[:-1]]
-    return np.einsum("ij,ij->i", x.reshape(len(a), -1), y.reshape(len(a), -1)) if len(a) else np.zeros(0)
+    if not len(size) or not size.min():
+        return np.full(len(size), np.nan)
+    total = lambda p: np.add.reduceat(p, first[:-1])
+    length = np.sqrt(total(x * x)) * np.sqrt(total(y * y))
+    return np.where(length > 1e-9, total(x * y) / np.maximum(length, 1e-300), np.nan)
 
 
-def with_dot(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """``pairs`` with the dot products of two vector columns in place of them, computed a batch at a time."""
+def with_cosine(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``pairs`` with the cosines of two vector columns in place of them, computed a batch at a time; null for zero vectors."""
     kept = [c for c in pairs.columns if c not in (a, b)]
     schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [batch.column(k) for k in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(_products(batch.column(len(kept)), batch.column(len(kept) + 1)))], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(_cosines(batch.column(len(kept)), batch.column(len(kept) + 1)), from_pandas=True)], [*kept, name])
 
     return pairs.select(*kept, a, b).mapInArrow(run, f"{schema}, `{name}` double")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,28 +17,43 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), SPACES), lambda w: w != "")
 
 
-def _grams(words: Column, n: int) -> Column:
-    """All n-grams of an array of words, joined by spaces: the array zipped with itself, moved on by one word each."""
-    m = F.greatest(F.lit(0), F.size(words) - (n - 1))
-    out = F.slice(words, F.lit(1), m)
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(words, F.lit(k + 1), m), lambda x, y: F.concat(x, F.lit(" "), y))
+def _overlap(a: np.ndarray, b: np.ndarray, orders: list[int]) -> list[int]:
+    """For each order n, how many n-grams two sequences of word numbers have and share (clipped)."""
+    x, y, out = a, b, []
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            width = np.int64(max(a.max(initial=0), b.max(initial=0)) + 1)
+            x, y = (g[: len(w) - n + 1] * width + w[n - 1 :] if len(w) >= n else w[:0] for g, w in ((x, a), (y, b)))
+        known, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+        x, y = number[: len(x)], number[len(x) :]
+        if n in orders:
+            common = np.minimum(np.bincount(x, minlength=len(known)), np.bincount(y, minlength=len(known))).sum()
+            out += [len(x), len(y), int(common)]
     return out
 
 
 def gram_overlap(pairs: DataFrame, orders: list[int], split=tokens) -> DataFrame:
     """id, and for each order n the sizes n_ref, n_cand and common (clipped overlap) of n-grams, as ``n_ref_1`` and so on.
 
-    Grams of both texts and of all orders go through one aggregation by pair, order and gram; a
-    pair's grams lie in one task, so they are summed before the shuffle."""
-    def marked(c: str, side: int, n: int) -> Column:
-        return F.transform(_grams(split(F.col(c)), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("side")))
+    Each pair is counted where it lies: the words of an Arrow batch are numbered once and n-grams are
+    numbers of numbers, so nothing is shuffled.  A null text has no words."""
+    names = [f"{c}_{n}" for n in sorted(orders) for c in ("n_ref", "n_cand", "common")]
+    kind = pairs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(1), batch.column(2)]
+            flat = [c.flatten() for c in sides]
+            numbers = pa.concat_arrays(flat).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            split_at = len(flat[0])
+            words = [numbers[:split_at], numbers[split_at:]]
+            size = [np.array([0 if n is None else n for n in pc.list_value_length(c).to_pylist()], np.int64) for c in sides]
+            edge = [np.concatenate([[0], np.cumsum(x)]) for x in size]
+            rows = [_overlap(*(w[e[k] : e[k + 1]] for w, e in zip(words, edge, strict=True)), orders) for k in range(batch.num_rows)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["id", *names])
 
-    every = F.concat(*[marked(c, side, n) for side, c in enumerate(("reference", "candidate")) for n in orders])
-    rows = pairs.select("id", F.explode(every).alias("x")).select("id", "x.*")
-    counts = rows.groupBy("id", "n", "g").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    sums = [F.sum(F.when(F.col("n") == n, x).otherwise(F.lit(0))).alias(f"{name}_{n}") for n in orders for name, x in (("n_ref", F.col("r")), ("n_cand", F.col("c")), ("common", F.least("r", "c")))]
-    return pairs.select("id").join(counts.groupBy("id").agg(*sums), "id", "left").na.fill(0)
+    return pairs.select("id", split(F.col("reference")).alias("r"), split(F.col("candidate")).alias("c")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def _share(a: str, b: str) -> Column:
@@ -72,8 +92,6 @@ def lcs(x: list[str], y: list[str]) -> int:
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
     """F1 of the longest common subsequence; each pair where it lies."""
-    from collections.abc import Iterator
-
     import pandas as pd
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parlance.functions.vectors import unit, with_dot
+from parlance.functions.vectors import with_cosine
 
 # Relation weights, edge parameters.
 RELATION_WEIGHTS = {"green_support": 1.0, "red_opposes": 0.8, "inter_citation": 1.2, "follows": 0.5, "semantic": 0.7}
@@ -24,11 +24,11 @@ def semantic(nodes: DataFrame, threshold: float = THRESHOLD, window: int = WINDO
 
     A range join by hand: positions are cut into buckets of the window's width, and a clause
     meets its own bucket and the one after, so long documents stay linear."""
-    v = nodes.select("doc_id", "clause_id", "idx", unit(F.col("embedding")).alias("u")).where("u is not null").withColumn("bucket", F.floor(F.col("idx") / window))
+    v = nodes.select("doc_id", "clause_id", "idx", F.col("embedding").alias("u")).where("u is not null").withColumn("bucket", F.floor(F.col("idx") / window))
     a = v.select("doc_id", "bucket", F.col("clause_id").alias("source"), F.col("idx").alias("i"), F.col("u").alias("ua"))
     b = v.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1))).select("doc_id", "bucket", F.col("clause_id").alias("target"), F.col("idx").alias("j"), F.col("u").alias("ub"))
     pairs = a.join(b, ["doc_id", "bucket"]).where((F.col("j") > F.col("i")) & (F.col("j") - F.col("i") <= window))
-    scored = with_dot(pairs.select("doc_id", "source", "target", "i", "j", "ua", "ub"), "ua", "ub", "score").withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
+    scored = with_cosine(pairs.select("doc_id", "source", "target", "i", "j", "ua", "ub"), "ua", "ub", "score").withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
     back = scored.select("doc_id", F.col("target").alias("source"), F.col("source").alias("target"), F.col("j").alias("i"), F.col("i").alias("j"), "score")
     return scored.unionByName(back).withColumn("relation", F.lit("semantic"))
 
