@@ -121,6 +121,8 @@ def phrases(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, reach: int
 
 #: Cores of more distinct phrases are hot.  Strings in a short run of a hot core.
 HOT_FORMS, SUB_RUN = 1000, 8
+#: Bytes of phrases that are put into order at once, and rows whose remaining texts are held at once.
+ORDER_BYTES, HELD_ROWS = 256 << 10, 128
 #: Of the prefix-free parse that gives the suffix order: bytes of a trigger, modulus of its hash.
 SHORT_GRAM, MODULUS = 12, 24
 
@@ -275,9 +277,9 @@ def _ordered(cut: DataFrame, length: int) -> DataFrame:
             core = batch.column(5).to_numpy()
             while batch.num_rows:
                 held_core = held[-1].column(5)[-1].as_py() if held else None
-                if sum(b.nbytes for b in held) < bk.GROUP_BYTES:
+                if sum(b.nbytes for b in held) < ORDER_BYTES:
                     # Whole cores until the group is full, and the rest of the last one.
-                    upto = int(np.searchsorted(np.cumsum(_sizes(batch)), bk.GROUP_BYTES)) + 1
+                    upto = int(np.searchsorted(np.cumsum(_sizes(batch)), ORDER_BYTES)) + 1
                     upto = int(np.searchsorted(core, core[min(upto, len(core)) - 1], "right"))
                 else:
                     upto = int(np.searchsorted(core, held_core, "right"))
@@ -426,7 +428,7 @@ def remove(docs: DataFrame, length: int = LENGTH, carry: bool = False, hot_forms
     names = ["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *(["carried"] if carry else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, HELD_ROWS) for b in batches for at in range(0, b.num_rows, HELD_ROWS)):
             rows = []
             for raw, runs_ in zip(_unpack(batch.column(2)), batch.column(3 + carry), strict=True):
                 kept, spans = _kept(raw, [(r["start"], r["n"]) for r in runs_.as_py() or ()], length)
