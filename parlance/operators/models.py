@@ -78,4 +78,4 @@ def stand_in_encoder() -> Callable[[Sequence], list[list[float]]]:
 
 
 def stand_in_translator() -> Callable[[Sequence], list[str]]:
-    return lambda texts: [None if t is None else t[::-1] for t in texts]
+    return lambda texts: [None if t is None else t.replace("e", "3") for t in texts]

@@ -48,12 +48,12 @@ HEADS = ["Decided on: 12.03.2010 Sisira de Abrew, J.", "DATE OF JUDGMENT 2 May 2
 _HEAD, _HEAD_SQL = planted(HEADS, "doc_id")
 
 
-@query(f"WITH d AS (SELECT doc_id, regexp_matches(text, '(?i)decided|judge?ment\\s*on|argued|order\\s*(delivered\\s*)?on|delivered\\s*on|date|decide\\s*on|judgment\\s*(pronounced|delivered)') AS own FROM documents) SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'judge' WHEN doc_id % 4 <> 2 THEN 'date' END AS split_after FROM d WHERE NOT own")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'judge' WHEN doc_id % 4 <> 2 THEN 'date' END AS split_after FROM documents")
 def metadata_of_documents(spark, sf_dir):
-    """Which cut separates metadata and body; texts that hold a phrase of their own are left out of this comparison alone."""
-    d = src.table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?i)decided|judge?ment\s*on|argued|order\s*(delivered\s*)?on|delivered\s*on|date|decide\s*on|judgment\s*(pronounced|delivered)"))
-    rows = d.select("doc_id", structure.metadata_split(F.concat(F.lit("SC "), "doc_id", F.lit(" "), _HEAD(), F.lit(" The petitioner came. " + "so it was then and there " * 6), "text")).alias("s"))
-    return rows.select("doc_id", "s.split_after")
+    """Which cut separates a planted head and the body; the letter d is taken out of the body, so that it holds no phrase of its own."""
+    body = F.translate("text", "Dd", "")
+    head = F.concat(F.lit("SC "), "doc_id", F.lit(" "), _HEAD(), F.lit(" The petitioner came. " + "so it was then as there " * 6), body)
+    return src.table(spark, sf_dir, "documents").select("doc_id", structure.metadata_split(head).alias("s")).select("doc_id", "s.split_after")
 
 
 @query()
@@ -485,10 +485,10 @@ def summaries_chosen(spark, sf_dir):
     return d.select("doc_id", tx.chosen_summary(final, F.when(F.col("doc_id") % 3 == 1, F.split("text", "\n"))).alias("summary"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace('1. reason ' || text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS reasoning FROM documents WHERE NOT contains(text, 'Key ')")
+@query(r"SELECT doc_id, trim(regexp_replace('1. reason ' || string_split(text || chr(10) || 'Key holding', 'Key holding')[1], '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS reasoning FROM documents")
 def reasoning_of_texts(spark, sf_dir):
     t = F.concat(F.lit("Lead.\nKey reasoning (compressed from selected clauses):\n1. reason "), "text", F.lit("\nKey holding (verbatim clause): h"))
-    return src.table(spark, sf_dir, "documents").where(~F.col("text").contains("Key ")).select("doc_id", tx.reasoning_part(t).alias("reasoning"))
+    return src.table(spark, sf_dir, "documents").select("doc_id", tx.reasoning_part(t).alias("reasoning"))
 
 
 SPOKEN = ["I find that we hold it.", "In my view I dismiss it.", "We are of it and I order so.", "it appears to me and I refuse.", "plain"]
@@ -594,13 +594,14 @@ def evaluation_summary(spark, sf_dir):
     return headnotes.evaluation_summary(rows, ["ratio", "chars"])
 
 
-@query("SELECT d.doc_id, CASE WHEN doc_id % 4 = 3 THEN false ELSE true END AS found FROM documents d WHERE NOT contains(lower(text), 'silva')")
+_TAILS_OF_NAMES = [" SILVA v Perera and Others ", " silva v perera ", " perera said others; silva came and went ", " Silva alone "]
+_NAME_TAIL, _NAME_TAIL_SQL = planted(_TAILS_OF_NAMES, "doc_id")
+
+
+@query(f"SELECT doc_id, contains(t, 'silva v perera') OR (contains(t, 'silva') AND contains(t, 'perera') AND contains(t, 'and')) AS found FROM (SELECT doc_id, lower(text || {_NAME_TAIL_SQL}) AS t FROM documents)")
 def names_found(spark, sf_dir):
     """A case name in a text: as it is, without others, by its longer words, or not at all."""
-    d = src.table(spark, sf_dir, "documents").where(~F.lower("text").contains("silva"))
-    name = F.lit("Silva v Perera and others")
-    tail = F.element_at(F.array(F.lit(" SILVA v Perera and Others "), F.lit(" silva v perera "), F.lit(" perera said others; silva came and went "), F.lit(" Silva alone ")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return d.select("doc_id", evaluate.name_found(name, F.concat("text", tail)).alias("found"))
+    return src.table(spark, sf_dir, "documents").select("doc_id", evaluate.name_found(F.lit("Silva v Perera and others"), F.concat("text", _NAME_TAIL())).alias("found"))
 
 
 # Hooks for models.
@@ -620,10 +621,10 @@ def model_vectors(spark, sf_dir):
     return v.select("doc_id", "clause_id", *[F.element_at("v", i).cast("double").alias(n) for i, n in enumerate("abc", 1)])
 
 
-@query(f"WITH {CLAUSES} SELECT doc_id, clause_id, reverse(text) AS text FROM clauses WHERE regexp_matches(text, '^[ -~]*$')")
+@query(f"WITH {CLAUSES} SELECT doc_id, clause_id, replace(text, 'e', '3') AS text FROM clauses")
 def model_translations(spark, sf_dir):
-    """The translator hook with its stand-in (texts of plain letters are compared)."""
-    return src.clauses(spark, sf_dir).where(F.col("text").rlike("^[ -~]*$")).select("doc_id", "clause_id", models.rewrite(F.col("text"), models.stand_in_translator).alias("text"))
+    """The translator hook with its stand-in."""
+    return src.clauses(spark, sf_dir).select("doc_id", "clause_id", models.rewrite(F.col("text"), models.stand_in_translator).alias("text"))
 
 
 @query(f"WITH {PAIRS}, x AS (SELECT doc_id, source AS clause_id, target AS near FROM pairs UNION SELECT doc_id, target, source FROM pairs UNION SELECT doc_id, clause_id, clause_id FROM nodes), u AS (SELECT x.doc_id, x.clause_id, unnest(v.embedding) AS e, unnest(range(len(v.embedding))) AS i FROM x JOIN vecs v ON v.doc_id = x.doc_id AND v.clause_id = x.near) SELECT doc_id, clause_id, round(sum(a * (i + 1)), 4) AS checksum FROM (SELECT doc_id, clause_id, i, avg(e) AS a FROM u GROUP BY ALL) GROUP BY ALL")
