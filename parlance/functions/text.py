@@ -21,6 +21,22 @@ def any_of(patterns: list[str], flags: str = "i") -> str:
     return f"(?{flags})" + "|".join(f"(?:{p})" for p in patterns)
 
 
+# Letters whose upper case by full mapping is several letters, and the one letter that a second engine's simple mapping gives.
+WIDE = {chr(i): "\u1e9e" if chr(i) == "\u00df" else chr(i).title() for i in range(128, 0x10000) if not 0xD800 <= i < 0xE000 and len(chr(i).upper()) > 1}
+WIDE = {k: v if len(v) == 1 else k for k, v in WIDE.items()}
+
+
+def upper_letter(c: Column) -> Column:
+    """One letter in upper case, which stays one letter."""
+    up = F.upper(c)
+    return F.when(F.length(up) > 1, F.translate(c, "".join(WIDE), "".join(WIDE.values()))).otherwise(up)
+
+
+def lower(c: Column) -> Column:
+    """Lower case, letter by letter: only the dotted capital I would become two."""
+    return F.lower(F.translate(c, "\u0130", "i"))
+
+
 def squeeze(c: Column) -> Column:
     """White space runs become one space; ends trimmed."""
     return F.trim(F.regexp_replace(c, SPACES, " "))
@@ -93,11 +109,11 @@ def cites_precedent(c: Column) -> Column:
 def guard(original: Column, summary: Column, least: int = 15) -> Column:
     """Why a rewritten clause is refused; null if it may be used.  Checks in order, the first counts."""
     s, o = F.trim(summary), F.trim(F.coalesce(original, F.lit("")))
-    low = F.lower(s)
+    low = lower(s)
     last = F.element_at(F.split(low, SPACES), -1)
     invented = F.lit(False)
     for p in INVENTED_PHRASES:
-        invented = invented | (s.contains(p) & ~F.lower(o).contains(p.lower()))
+        invented = invented | (s.contains(p) & ~lower(o).contains(p.lower()))
     starts = F.lit(False)
     for p in FRAGMENT_STARTS:
         starts = starts | low.startswith(p)

@@ -472,7 +472,7 @@ SELECT doc_id, clause_id, CASE WHEN length(s) < 15 THEN 'too_short' WHEN contain
  WHEN length(s) >= 25 AND (regexp_matches(s, '^\\p{{Ll}}') OR starts_with(low, 'of the ') OR starts_with(low, 'and the ') OR starts_with(low, 'but the ') OR starts_with(low, 'which ') OR starts_with(low, 'that the ')) THEN 'fragment' END AS reason FROM g""")
 def early_guards(spark, sf_dir):
     """The first four guards on rewritings made from the clauses; later ones are null here."""
-    up = F.concat(F.upper(F.substring("text", 1, 1)), F.substr("text", F.lit(2)))
+    up = F.concat(tx.upper_letter(F.substring("text", 1, 1)), F.substr("text", F.lit(2)))
     s = F.when((F.col("doc_id") + F.col("clause_id")) % 3 == 0, F.concat(up, F.lit(" (a) it stays (b) "), _TAILS())).when((F.col("doc_id") + F.col("clause_id")) % 3 == 1, F.concat(F.lit("In the United States "), "text", F.lit(" (a) (b)."))).otherwise(F.substring("text", 1, 12))
     reason = tx.guard(F.concat(F.trim("text"), F.lit(" (a) it stays (b) too.")), s)
     return src.clauses(spark, sf_dir).select("doc_id", "clause_id", F.when(reason.isin("too_short", "invented_phrase", "truncated", "fragment"), reason).alias("reason"))

@@ -22,3 +22,12 @@ def test_same_rows(spark, small, name):
     got, want = catalog.queries()[name](spark, small).toPandas(), db.sql(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) and rows(got) == rows(want)
+
+
+def test_early_guards_on_letters_whose_case_changes_their_number(spark, tmp_path):
+    texts = ["ßabcdefg", "ŉabcdefg", "ﬁab cdefghi", "ᾳabcdefg", "ǰabcdefgh and more", "Unİted States or United States", "plain text of it"]
+    pd.DataFrame({"doc_id": [24 * i + j for i in range(len(texts)) for j in (0, 23)], "text": [t for t in texts for _ in range(2)]}).to_parquet(tmp_path / "documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got, want = catalog.queries()["early_guards"](spark, str(tmp_path)).toPandas(), db.sql(catalog.oracle_sql()["early_guards"]).df()
+    assert len(got) == 14 and rows(got) == rows(want)
