@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import SparkSession
 
-from parlance.runtime import checkpointed
+from parlance.runtime import checkpointed, release
 
 __all__ = ["checkpointed", "partitions", "release"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer referred to.
-
-    Spark removes them when the driver's garbage is collected, which a driver with little to
-    do may put off until disks are full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parlance.functions.text import any_of, length_factor, procedure_heavy, statutory_fragment
+from parlance.functions.vectors import near_better
 
 # Role weights, signal weights and their changes by case type, k ratios, disposition patterns.
 ROLE_WEIGHTS = {"Claim": 1.0, "Premise": 0.7, "Opposition": 0.6}
@@ -105,13 +106,21 @@ def min_max(c: str, key: str = "doc_id") -> Column:
     return F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.5)
 
 
+def text_signals(rows: DataFrame) -> DataFrame:
+    """What a hybrid score needs of a text: length_factor, statute and heavy."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.withColumns({"length_factor": length_factor(text), "statute": statutory_fragment(text), "heavy": procedure_heavy(text)})
+
+
 def hybrid_score(rows: DataFrame) -> DataFrame:
     """The weighted sum of the signal columns with the text factors, min-max scaled by document.
 
-    ``rows``: doc_id, clause_id, text, label, idx, name and the columns of ``SIGNALS``; a null signal is 0, a
+    ``rows``: doc_id, clause_id, text (or its ``text_signals``), label, idx, name and the columns of ``SIGNALS``; a null signal is 0, a
     missing column is an error."""
     if lost := [c for c in SIGNALS if c not in rows.columns]:
         raise ValueError(f"signals are missing: {', '.join(lost)}")
+    if "heavy" not in rows.columns:
+        rows = text_signals(rows)
     have = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     by_doc = Window.partitionBy("doc_id")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(by_doc))
@@ -125,28 +134,25 @@ def hybrid_score(rows: DataFrame) -> DataFrame:
         for t in CASE_CHANGES:
             w = F.when(kind == t, weights_of(t)[k]).otherwise(w)
         total = total + w * signal
-    text = F.coalesce("text", F.lit(""))
-    total = total * (0.9 + 0.1 * length_factor(text)) * F.when(statutory_fragment(text), 0.92).otherwise(1.0)
-    rows = rows.withColumns({"raw": total, "heavy": procedure_heavy(text)})
+    total = total * (0.9 + 0.1 * F.col("length_factor")) * F.when(F.col("statute"), 0.92).otherwise(1.0)
+    rows = rows.withColumn("raw", total)
     many = F.sum(F.col("heavy").cast("int")).over(by_doc) > 10
     rows = rows.withColumn("raw", F.round(F.col("raw") * F.when(many & F.col("heavy"), 0.96).otherwise(1.0), 9))
-    return rows.withColumn("score", F.round(min_max("raw"), 6)).drop("raw", "heavy", "role_boosted")
+    return rows.withColumn("score", F.round(min_max("raw"), 6)).drop("raw", "heavy", "length_factor", "statute", "role_boosted")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "idx")))
 
 
-def dedup_penalty(rows: DataFrame, threshold: float = 0.92, penalty: float = 0.93) -> DataFrame:
-    """Scores times ``penalty`` where a better ranked clause of score over 0 is that similar; rows have ``embedding``."""
-    from parlance.functions.vectors import dot, unit
+def dedup_penalty(rows: DataFrame, threshold: float = 0.92, penalty: float = 0.93, vectors: DataFrame | None = None) -> DataFrame:
+    """Scores times ``penalty`` where a better ranked clause of score over 0 is that similar.
 
-    v = ranked(rows).withColumn("u", unit(F.col("embedding")))
-    a = v.select("doc_id", "clause_id", F.col("rank").alias("ra"), F.col("u").alias("ua"))
-    b = v.where("score > 0").select("doc_id", F.col("rank").alias("rb"), F.col("u").alias("ub"))
-    hit = a.join(b, "doc_id").where((F.col("rb") < F.col("ra")) & (dot(F.col("ua"), F.col("ub")) >= threshold)).select("doc_id", "clause_id").distinct().withColumn("near", F.lit(True))
+    ``vectors``: doc_id, clause_id, embedding; by default those of ``rows``."""
+    v = ranked(rows)
+    hit = near_better(v, rows if vectors is None else vectors, threshold).withColumn("near", F.lit(True))
     out = v.join(hit, ["doc_id", "clause_id"], "left").withColumn("score", F.round(F.when(F.col("near"), F.col("score") * penalty).otherwise(F.col("score")), 6))
-    return out.drop("near", "u", "rank")
+    return out.drop("near", "rank")
 
 
 def adaptive_k(n: Column, edges: Column, kind: Column, method: str = "hybrid", least: int = 5, most: int = 50, share: float = 0.15, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> Column:
@@ -177,8 +183,8 @@ def dispositions(rows: DataFrame) -> DataFrame:
 def guarantee_disposition(rows: DataFrame) -> DataFrame:
     """Adds, beyond k, the best disposition where a document's selection has none: by priority, then the latest.
 
-    ``rows``: doc_id, clause_id, idx, text, selected."""
-    d = dispositions(rows)
+    ``rows``: doc_id, clause_id, idx, text (or its ``dispositions``), selected."""
+    d = rows if "strong" in rows.columns else dispositions(rows)
     by_doc = Window.partitionBy("doc_id")
     any_strong = F.max(F.col("strong")).over(by_doc)
     d = d.withColumn("required", F.when(any_strong, F.col("strong")).otherwise(F.col("weak")))

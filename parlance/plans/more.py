@@ -293,16 +293,16 @@ def embedding_features(spark, sf_dir):
     return features.embedding_features(v, v.where("idx < 2").select("doc_id", "embedding"))
 
 
-def ranked_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def corpus_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = vectors_of(spark, sf_dir).withColumn("name", src.case_id())
     bad = F.when(F.col("doc_id") % 50 == 7, F.lit(None)).otherwise(F.col("clause_id"))
-    return features.rank_corpus(v.withColumn("clause_id", bad), graph.build(vectors_of(spark, sf_dir), 0.2), "balanced")
+    return v.withColumn("clause_id", bad), graph.build(vectors_of(spark, sf_dir), 0.2)
 
 
 @query()
 def ranking_driver(spark, sf_dir):
     """Every document's selection by all signals, in document order, as JSON records written and read back; faulty documents are set aside."""
-    chosen, aside = ranked_corpus(spark, sf_dir)
+    chosen, aside = features.rank_corpus(*corpus_nodes(spark, sf_dir), "balanced")
     at = files.scratch(spark, "ranked")
     files.clause_records(chosen, ["clause_id", "label", "score", "rank", "k", "forced", "doc_order"]).write.json(at)
     back = spark.read.schema("doc_id bigint, clauses array<struct<clause_id:int,label:string,score:double,rank:int,k:int,forced:boolean,doc_order:int>>").json(at)
@@ -312,7 +312,7 @@ def ranking_driver(spark, sf_dir):
 
 @query()
 def ranking_summary(spark, sf_dir):
-    return features.ranking_summary(*ranked_corpus(spark, sf_dir))
+    return features.ranking_summary(*features.select_corpus(*corpus_nodes(spark, sf_dir), "balanced"))
 
 
 _PRESET_SQL = {

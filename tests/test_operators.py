@@ -389,3 +389,47 @@ def test_missing_signals_are_errors(spark):
     rows = spark.createDataFrame([(1, 1, 0, "a", "Claim", "x")], "doc_id long, clause_id int, idx int, text string, label string, name string")
     with pytest.raises(ValueError, match="betweenness"):
         ranking.hybrid_score(rows)
+
+
+def test_rank_corpus_writes_no_vectors_and_keeps_documents_without_them(spark):
+    """Checkpoints held every vector three times before; a document without vectors was lost."""
+    from pathlib import Path
+
+    from parlance.operators import features, graph
+
+    rng = np.random.default_rng(5)
+    rows = [(d, c, c - 1, f"clause {c} of {d} is dismissed", "Premise", f"SC_FR_{d}_2010", None if d == 3 else rng.normal(size=512).tolist()) for d in range(1, 5) for c in range(1, 76)]
+    nodes = spark.createDataFrame(rows, "doc_id long, clause_id int, idx int, text string, label string, name string, embedding array<double>")
+    held = lambda: sum(f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+    before = held()
+    chosen, aside = features.rank_corpus(nodes, graph.build(nodes, 0.9))
+    got = chosen.toPandas()
+    assert held() - before < 300 * 512 * 8
+    assert set(got["doc_id"]) == {1, 2, 3, 4} and aside.count() == 0 and got["text"].notna().all()
+
+
+def test_semantic_edges_across_blocks_and_batches(spark):
+    from parlance.operators import graph
+
+    rng = np.random.default_rng(6)
+    n = 2 * graph.BLOCK + 30
+    v = rng.normal(size=(n, 4))
+    rows = [(7, i + 1, i, v[i].tolist()) for i in range(n) if i % 97]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = graph.semantic(spark.createDataFrame(rows, "doc_id long, clause_id int, idx int, embedding array<double>"), 0.8).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i + 1, j + 1) for i in range(n) for j in range(max(0, i - 10), min(n, i + 11)) if i != j and i % 97 and j % 97 and round(float(u[i] @ u[j]), 6) >= 0.8}
+    assert len(got) == len(want) and {(r.source, r.target) for r in got} == want
+
+
+def test_near_better_by_brute_force(spark):
+    from parlance.functions.vectors import near_better
+
+    rng = np.random.default_rng(7)
+    rows = [(d, c, r + 1, float(c % 5 > 0), rng.normal(size=3).tolist() if c % 11 else [0.0] * 3) for d in range(5) for r, c in enumerate(rng.permutation(40).tolist())]
+    f = spark.createDataFrame(rows, "doc_id long, clause_id int, rank int, score double, embedding array<double>")
+    unit = [np.array(v) / max(np.linalg.norm(v), 1e-9) for *_, v in rows]
+    want = {(a[0], a[1]) for a, x in zip(rows, unit, strict=True) for b, y in zip(rows, unit, strict=True) if a[0] == b[0] and b[2] < a[2] and b[3] > 0 and x @ y >= 0.9}
+    assert want and {tuple(r) for r in near_better(f, f, 0.9, 16).collect()} == want
